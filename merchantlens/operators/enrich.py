@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from merchantlens.functions import dates, numbers, rules
 from merchantlens.schemas import MONEY
+from merchantlens.sources.local import constant_table
 
 
 def fee_rate(
@@ -117,7 +118,7 @@ def event_table(spark: SparkSession, events: Iterable[rules.Event] = rules.EVENT
         (e.event_date, e.label, e.payment_method, e.volume_mult, e.success_prob, e.refund_prob)
         for e in events
     ]
-    return spark.createDataFrame(rows, EVENT_SCHEMA)
+    return constant_table(spark, rows, EVENT_SCHEMA)
 
 
 def usual_success(method: Column) -> Column:

@@ -47,24 +47,37 @@ def daily_series(
 def date_spine(series: DataFrame, period: Period | None = None) -> DataFrame:
     """K5: every series on every day, missing days filled with 0.
 
-    Without a period the days run over the span of the whole data.  Days are
-    generated inside each series' own row, so this is no cross join; its output
-    is series times days by definition.
+    Without a period the days run over the span of the whole data.  Each row
+    stretches over the gap up to the next one, and the first also over the gap
+    before it, so one window does it: no spine to join with, and windows that
+    follow find the rows partitioned by series already.
     """
     if period is None:
+        # Counting the target keeps the subquery's shuffle equal to that of the
+        # rows themselves, so that it is reused.
         span = series.agg(
-            F.struct(F.min("agg_date").alias("first"), F.max("agg_date").alias("last")).alias("s")
+            F.struct(
+                F.min("agg_date").alias("first"),
+                F.max("agg_date").alias("last"),
+                F.count(TARGET).alias("n"),
+            ).alias("s")
         ).scalar()
         first, last = span.getField("first"), span.getField("last")
     else:
         first, last = dates.day_literal(period.start), dates.day_literal(period.end)
-    spine = (
-        series.select("series_key")
-        .distinct()
-        .select("series_key", F.explode(F.sequence(first, last)).alias("agg_date"))
+        series = series.where(F.col("agg_date").between(first, last))
+    day = F.col("agg_date")
+    start = F.when(F.lag(day).over(by_series()).isNull(), first).otherwise(day)
+    end = F.coalesce(F.date_sub(F.lead(day).over(by_series()), 1), last)
+    stretched = series.withColumns({"_start": start, "_end": end}).select(
+        "series_key",
+        F.col("agg_date").alias("_day"),
+        TARGET,
+        F.explode(F.sequence("_start", "_end")).alias("agg_date"),
     )
-    filled = spine.join(series, ["series_key", "agg_date"], "left")
-    return filled.withColumn(TARGET, F.coalesce(F.col(TARGET), F.lit(0.0)))
+    own = F.col("agg_date") == F.col("_day")
+    value = F.coalesce(F.when(own, F.col(TARGET)), F.lit(0.0))
+    return stretched.select("series_key", "agg_date", value.alias(TARGET))
 
 
 def calendar(day: Column) -> dict[str, Column]:

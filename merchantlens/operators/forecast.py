@@ -3,12 +3,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from merchantlens.functions import rules
 from merchantlens.functions.dates import Period, day_literal
 from merchantlens.operators import segments
 from merchantlens.operators.features import PLATFORM, TARGET
+from merchantlens.sources.local import constant_table
 
 COLUMNS = (
     "target_date",
@@ -21,6 +22,11 @@ COLUMNS = (
 )
 
 
+LABELS = T.StructType(
+    [T.StructField("feature", T.StringType()), T.StructField("label", T.StringType())]
+)
+
+
 def last_rows(series: DataFrame, rows: int, skip: int = 0) -> DataFrame:
     """The latest ``rows`` rows of each series before its last ``skip`` rows.
 
@@ -150,9 +156,7 @@ def label_features(
     A feature without a label shows its own name (S20); the shares are taken
     over all features before the first ``top`` are kept (S21).
     """
-    names = importance.sparkSession.createDataFrame(
-        list(labels.items()), "feature string, label string"
-    )
+    names = constant_table(importance.sparkSession, list(labels.items()), LABELS)
     shared = segments.with_shares(importance, impact="importance")
     return (
         shared.join(names, "feature", "left")

@@ -12,6 +12,7 @@ from merchantlens.functions import rules
 from merchantlens.operators import features, forecast
 from merchantlens.operators.features import FEATURES, PLATFORM, TARGET
 from merchantlens.session import cut_lineage
+from merchantlens.sources.local import constant_table
 
 MIN_ROWS = 31
 
@@ -27,8 +28,10 @@ def train(
     """Boosted trees over all series of the feature frame.
 
     The frame is written once first: every boosting round reads it again, and
-    a lost executor must not recompute it from the transactions.
+    a lost executor must not recompute it from the transactions.  Rebalancing
+    makes its files even, few for the platform and many for all merchants.
     """
+    rows = cut_lineage(frame.select(TARGET, *FEATURES).hint("rebalance"))
     stages = [
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         GBTRegressor(
@@ -41,7 +44,7 @@ def train(
             maxBins=max_bins,
         ),
     ]
-    return Pipeline(stages=stages).fit(cut_lineage(frame.select(TARGET, *FEATURES)))
+    return Pipeline(stages=stages).fit(rows)
 
 
 def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
@@ -49,7 +52,7 @@ def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     trees: GBTRegressionModel = model.stages[-1]
     weights = trees.featureImportances.toArray()
     rows = [(name, float(weight)) for name, weight in zip(FEATURES, weights)]
-    return spark.createDataFrame(rows, schemas.FEATURE_IMPORTANCE).orderBy(
+    return constant_table(spark, rows, schemas.FEATURE_IMPORTANCE).orderBy(
         F.desc("importance"), "feature"
     )
 
@@ -101,28 +104,35 @@ def recursive(
     and shuffles nothing.  The state is written out every ``cut_every`` steps,
     which bounds both the plan and what a lost executor costs.
     """
+    values, day = F.col("h"), F.col("target_date")
+    inputs = features.calendar(day)
+    inputs.update({f"revenue_lag_{k}": _back(values, k) for k in rules.LAGS})
+    inputs.update({f"rolling_avg_{n}d": _mean_back(values, n) for n in rules.ROLLING})
+    value = F.greatest(F.col("prediction"), F.lit(0.0)).alias("value")
+    advanced = (
+        F.col("series_key"),
+        F.date_add(day, 1).alias("target_date"),
+        _push(values, F.col("value")).alias("h"),
+        F.concat("predicted", F.array("value")).alias("predicted"),
+    )
     state = cut_lineage(
-        history(series).withColumn("predicted", F.array().cast("array<double>"))
+        history(series).select(
+            "series_key",
+            F.date_add("last_date", 1).alias("target_date"),
+            "h",
+            F.array().cast("array<double>").alias("predicted"),
+        )
     )
-    values = F.col("h")
     for step in range(1, horizon + 1):
-        day = F.date_add("last_date", step)
-        inputs = features.calendar(day)
-        inputs.update({f"revenue_lag_{k}": _back(values, k) for k in rules.LAGS})
-        inputs.update({f"rolling_avg_{n}d": _mean_back(values, n) for n in rules.ROLLING})
         scored = model.transform(state.withColumns(inputs))
-        value = F.greatest(F.col("prediction"), F.lit(0.0))
-        state = (
-            scored.withColumn("value", value)
-            .withColumn("h", _push(values, F.col("value")))
-            .withColumn("predicted", F.concat("predicted", F.array("value")))
-            .select("series_key", "last_date", "h", "predicted")
-        )
+        state = scored.select("*", value).select(*advanced)
         if step % cut_every == 0 and step < horizon:
             state = cut_lineage(state)
     days = state.select(
-        "series_key", "last_date", F.posexplode("predicted").alias("pos", "predicted_revenue")
-    ).withColumn("target_date", F.date_add(F.col("last_date"), F.col("pos") + 1))
+        "series_key",
+        F.col("target_date").alias("end"),
+        F.posexplode("predicted").alias("pos", "predicted_revenue"),
+    ).withColumn("target_date", F.date_add(F.col("end"), F.col("pos") - horizon))
     return forecast.with_band(days, level, rules.GBT_NAME, rules.GBT_BAND)
 
 
