@@ -34,18 +34,29 @@ def settle(
     other: Decimal = rules.OTHER_FEE_RATE,
 ) -> DataFrame:
     """K2: fee, refund and net settlement of every transaction."""
-    amount, status = F.col("transaction_amount"), F.col("payment_status")
-    zero = F.lit(0).cast(MONEY)
-    fee = F.round(amount * fee_rate(F.col("payment_method"), rates, other), 2).cast(MONEY)
+    fee = F.col("transaction_amount") * fee_rate(F.col("payment_method"), rates, other)
+    zero = "CAST(0 AS DECIMAL(18,2))"
     return (
-        txns.withColumn("processing_fee", F.when(status == rules.SUCCESSFUL, fee).otherwise(zero))
-        .withColumn("refund_amount", F.when(status == rules.REFUNDED, amount).otherwise(zero))
+        txns.withColumn("processing_fee", F.round(fee, 2).cast(MONEY))
+        .withColumns(
+            {
+                "processing_fee": F.expr(
+                    f"CASE WHEN payment_status = '{rules.SUCCESSFUL}' THEN processing_fee "
+                    f"ELSE {zero} END"
+                ),
+                "refund_amount": F.expr(
+                    f"CASE WHEN payment_status = '{rules.REFUNDED}' THEN transaction_amount "
+                    f"ELSE {zero} END"
+                ),
+            }
+        )
         .withColumn(
             "settlement_amount",
-            F.when(
-                status.isin(rules.SUCCESSFUL, rules.REFUNDED),
-                (amount - F.col("processing_fee") - F.col("refund_amount")).cast(MONEY),
-            ).otherwise(zero),
+            F.expr(
+                f"CASE WHEN payment_status IN ('{rules.SUCCESSFUL}', '{rules.REFUNDED}') "
+                "THEN CAST(transaction_amount - processing_fee - refund_amount AS DECIMAL(18,2)) "
+                f"ELSE {zero} END"
+            ),
         )
     )
 

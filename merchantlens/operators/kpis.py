@@ -17,7 +17,6 @@ from merchantlens.functions import dates, numbers, rules
 from merchantlens.functions.dates import Period
 from merchantlens.operators import filters as flt
 from merchantlens.operators.filters import Filters
-from merchantlens.schemas import MONEY
 
 AMOUNTS = ("gross_revenue", "net_revenue", "processing_fees", "refund_total")
 COUNTS = (
@@ -35,34 +34,27 @@ RATES = {
 
 def measures(txns: DataFrame) -> DataFrame:
     """Transactions as a measure frame: a projection, no shuffle."""
-    status = F.col("payment_status")
-
-    def having(value: str) -> Column:
-        return F.when(status == value, F.lit(1)).otherwise(F.lit(0)).cast("long")
-
-    amount = F.col("transaction_amount")
-    gross = F.when(status == rules.SUCCESSFUL, amount).otherwise(F.lit(0).cast(MONEY))
-    month = [F.col("txn_month").alias("agg_month")] if "txn_month" in txns.columns else []
-    return txns.select(
-        F.to_date("transaction_date").alias("agg_date"),
+    month = ["txn_month AS agg_month"] if "txn_month" in txns.columns else []
+    return txns.selectExpr(
+        "CAST(transaction_date AS DATE) AS agg_date",
         "merchant_id",
         "payment_method",
-        gross.alias("gross_revenue"),
-        F.col("settlement_amount").alias("net_revenue"),
-        F.lit(1).cast("long").alias("total_transactions"),
-        having(rules.SUCCESSFUL).alias("successful_transactions"),
-        having(rules.FAILED).alias("failed_transactions"),
-        having(rules.REFUNDED).alias("refunded_transactions"),
-        F.col("processing_fee").alias("processing_fees"),
-        F.col("refund_amount").alias("refund_total"),
+        f"CASE WHEN payment_status = '{rules.SUCCESSFUL}' THEN transaction_amount "
+        "ELSE CAST(0 AS DECIMAL(18,2)) END AS gross_revenue",
+        "settlement_amount AS net_revenue",
+        "1L AS total_transactions",
+        f"IF(payment_status = '{rules.SUCCESSFUL}', 1L, 0L) AS successful_transactions",
+        f"IF(payment_status = '{rules.FAILED}', 1L, 0L) AS failed_transactions",
+        f"IF(payment_status = '{rules.REFUNDED}', 1L, 0L) AS refunded_transactions",
+        "processing_fee AS processing_fees",
+        "refund_amount AS refund_total",
         *month,
     )
 
 
 def total(df: DataFrame, name: str) -> Column:
     """Exact sum of one additive column."""
-    value = numbers.exact(df, name) if name in AMOUNTS else F.col(name)
-    return F.sum(value)
+    return F.sum(numbers.exact(df, name) if name in AMOUNTS else name)
 
 
 def rollup_to(df: DataFrame, *keys: str) -> DataFrame:

@@ -115,11 +115,15 @@ def row_counts(spark, sf_dir):
     )
 
 
+def _in_good_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = star.customers(spark, sf_dir).where("c_acctbal >= 0")
+    return customers.selectExpr("c_custkey AS merchant_id")
+
+
 @query
 def orphan_transactions(spark, sf_dir):
     """C3, against the merchants in good standing"""
-    merchants = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0")
-    known = merchants.select(F.col("c_custkey").alias("merchant_id"))
+    known = _in_good_standing(spark, sf_dir)
     found = quality.orphans(star.raw_transactions(spark, sf_dir), known)
     return found.select("transaction_id", "merchant_id")
 
@@ -127,8 +131,7 @@ def orphan_transactions(spark, sf_dir):
 @query
 def orphan_merchants(spark, sf_dir):
     """C3 by merchant"""
-    merchants = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0")
-    known = merchants.select(F.col("c_custkey").alias("merchant_id"))
+    known = _in_good_standing(spark, sf_dir)
     return quality.orphan_merchants(star.raw_transactions(spark, sf_dir), known)
 
 

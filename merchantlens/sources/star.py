@@ -8,50 +8,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantlens.functions import rules
 from merchantlens.operators import enrich
-from merchantlens.schemas import MONEY
 
-# Payment method by order priority.
-METHOD_BY_PRIORITY: dict[str, str] = {
-    "1-URGENT": "Credit Card",
-    "2-HIGH": "Debit Card",
-    "3-MEDIUM": "UPI",
-    "4-NOT SPECIFIED": "Net Banking",
-    "5-LOW": "Wallet",
-}
+# The columns in use, declared: no file is opened to find out a schema.
+CUSTOMER = "c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE, c_mktsegment STRING"
+ORDERS = (
+    "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+    "o_orderpriority STRING"
+)
+CONVERSATIONS = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+
+# Payment method by order priority, size by account balance,
+# status by the last two digits of the order key.
+PAYMENT_METHOD = """
+    CASE WHEN o_orderkey % 97 = 0 THEN NULL
+         WHEN o_orderpriority = '1-URGENT' THEN 'Credit Card'
+         WHEN o_orderpriority = '2-HIGH' THEN 'Debit Card'
+         WHEN o_orderpriority = '3-MEDIUM' THEN 'UPI'
+         WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Net Banking'
+         WHEN o_orderpriority = '5-LOW' THEN 'Wallet' END AS payment_method"""
+BUSINESS_SIZE = """
+    CASE WHEN c_acctbal >= 9000 THEN 'Enterprise'
+         WHEN c_acctbal >= 6000 THEN 'Mid-Market'
+         ELSE 'SMB' END AS business_size"""
+PAYMENT_STATUS = """
+    CASE WHEN o_orderkey % 100 < 7 THEN 'Failed'
+         WHEN o_orderkey % 100 < 10 THEN 'Refunded'
+         ELSE 'Successful' END AS payment_status"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer", CUSTOMER)
 
 
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    balance = F.col("c_acctbal")
-    size = (
-        F.when(balance >= 9000, "Enterprise").when(balance >= 6000, "Mid-Market").otherwise("SMB")
-    )
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        F.col("c_custkey").alias("merchant_id"),
-        F.col("c_name").alias("merchant_name"),
-        F.col("c_mktsegment").alias("business_category"),
-        size.alias("business_size"),
+    return customers(spark, sf_dir).selectExpr(
+        "c_custkey AS merchant_id",
+        "c_name AS merchant_name",
+        "c_mktsegment AS business_category",
+        BUSINESS_SIZE,
     )
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    method = F.lit(None).cast("string")
-    for priority, name in METHOD_BY_PRIORITY.items():
-        method = F.when(F.col("o_orderpriority") == priority, name).otherwise(method)
-    status = (
-        F.when(key % 100 < 7, rules.FAILED)
-        .when(key % 100 < 10, rules.REFUNDED)
-        .otherwise(rules.SUCCESSFUL)
-    )
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        key.alias("transaction_id"),
-        F.col("o_custkey").alias("merchant_id"),
-        F.col("o_orderdate").alias("transaction_date"),
-        F.col("o_totalprice").cast(MONEY).alias("transaction_amount"),
-        F.when(key % 97 != 0, method).alias("payment_method"),
-        status.alias("payment_status"),
+    return _table(spark, sf_dir, "orders", ORDERS).selectExpr(
+        "o_orderkey AS transaction_id",
+        "o_custkey AS merchant_id",
+        "o_orderdate AS transaction_date",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS transaction_amount",
+        PAYMENT_METHOD,
+        PAYMENT_STATUS,
     )
 
 
@@ -61,7 +71,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        _table(spark, sf_dir, "conversations", CONVERSATIONS)
         .where(F.col("role") == "user")
         .select("conv_id", "turn", "text")
     )
