@@ -35,7 +35,7 @@ def daily_series(
     elif level == CATEGORY:
         joined = kpis.with_merchant(frame, merchants, "business_category", keys=["agg_date"])
         sums = joined.groupBy(F.col("business_category").alias("series_key"), "agg_date")
-        value = F.sum(TARGET)
+        value = kpis.total(joined, TARGET)
     elif level == MERCHANT:
         sums = frame.groupBy(F.col("merchant_id").cast("string").alias("series_key"), "agg_date")
         value = kpis.total(frame, TARGET)

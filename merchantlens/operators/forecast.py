@@ -27,15 +27,19 @@ LABELS = T.StructType(
 )
 
 
-def last_rows(series: DataFrame, rows: int, skip: int = 0) -> DataFrame:
-    """The latest ``rows`` rows of each series before its last ``skip`` rows.
+def aged(series: DataFrame) -> DataFrame:
+    """Rows numbered back from the latest of their series, which has ``age`` 1."""
+    latest = Window.partitionBy("series_key").orderBy(F.desc("agg_date"))
+    return series.withColumn("age", F.row_number().over(latest))
+
 
-    ``age`` is 1 for the latest row of all.  The rank limit is applied before
-    the shuffle as well, so only that many rows of a series travel per task.
+def last_rows(series: DataFrame, rows: int) -> DataFrame:
+    """The latest ``rows`` rows of each series, with their age.
+
+    The rank limit is applied before the shuffle as well, so only that many
+    rows of a series travel per task.
     """
-    latest = Window.partitionBy("series_key").orderBy(F.desc("agg_date"))
-    ranked = series.withColumn("age", F.row_number().over(latest))
-    return ranked.where((F.col("age") <= rows + skip) & (F.col("age") > skip))
+    return aged(series).where(F.col("age") <= rows)
 
 
 def horizon_days(last: Column, horizon: int) -> Column:
@@ -134,16 +138,13 @@ def mape(compared: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def backtest(series: DataFrame, holdout: int = rules.HORIZON) -> DataFrame:
     """I8 for the baseline: fitted before the last ``holdout`` rows, scored on them."""
-    recent = last_rows(series, rules.HISTORY + holdout)
     held = F.col("age") <= holdout
-    whole = Window.partitionBy("series_key")
     fitted = F.when(~held, F.col(TARGET))
+    whole = Window.partitionBy("series_key")
     base = F.when(F.count(fitted).over(whole) == rules.HISTORY, F.avg(fitted).over(whole))
+    recent = last_rows(series, rules.HISTORY + holdout).withColumn("base", base)
     predicted = F.col("base") * weekday_multiplier(F.col("agg_date"))
-    scored = (
-        recent.withColumn("base", base).where(held).withColumn("predicted_revenue", predicted)
-    )
-    return mape(scored, TARGET, "predicted_revenue")
+    return mape(recent.where(held).withColumn("predicted", predicted), TARGET, "predicted")
 
 
 def label_features(

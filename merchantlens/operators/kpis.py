@@ -9,7 +9,7 @@ first, and shuffles only as many rows as its own groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,6 +17,7 @@ from merchantlens.functions import dates, numbers, rules
 from merchantlens.functions.dates import Period
 from merchantlens.operators import filters as flt
 from merchantlens.operators.filters import Filters
+from merchantlens.session import fits_broadcast
 
 AMOUNTS = ("gross_revenue", "net_revenue", "processing_fees", "refund_total")
 COUNTS = (
@@ -84,17 +85,27 @@ def daily_kpis(txns: DataFrame) -> DataFrame:
     )
 
 
-def with_merchant(
-    frame: DataFrame, merchants: DataFrame, *attributes: str, keys: Sequence[str] = ()
+def join_merchants(
+    rows: DataFrame, dimension: DataFrame, condense: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Sums by merchant (and ``keys``), joined with merchant attributes.
+    """Inner join of ``rows`` with merchants, by whichever way shuffles less.
 
-    Summing first leaves the join one row per merchant and key, so no merchant
-    can skew it and the fact rows are never shuffled by it.  Nothing is hinted:
-    the merchants are broadcast only when their measured size allows.
+    Merchants small enough to be broadcast meet the rows where they lie, and
+    only the caller's own groups are shuffled.  Otherwise ``condense`` first
+    sums the rows by merchant, so that the join gets a bounded number of rows a
+    merchant: no fact row is shuffled by merchant and none can skew the join.
     """
+    if not fits_broadcast(dimension):
+        rows = condense(rows)
+    return rows.join(dimension, "merchant_id", "inner")
+
+
+def with_merchant(
+    frame: DataFrame, merchants: DataFrame, *attributes: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """A measure frame with merchant attributes, to be summed by ``keys`` and those."""
     dimension = merchants.select("merchant_id", *attributes)
-    return rollup_to(frame, "merchant_id", *keys).join(dimension, "merchant_id", "inner")
+    return join_merchants(frame, dimension, lambda rows: rollup_to(rows, "merchant_id", *keys))
 
 
 def filtered_daily(daily: DataFrame, merchants: DataFrame, chosen: Filters) -> DataFrame:
@@ -141,14 +152,15 @@ def revenue_series(frame: DataFrame, merchants: DataFrame, chosen: Filters) -> D
     """Net revenue by day under a selection."""
     kept = flt.date_range(frame, chosen.period)
     joined = with_merchant(kept, chosen.chosen(merchants), keys=["agg_date"])
-    return joined.groupBy("agg_date").agg(F.sum("net_revenue").cast("double").alias("net_rev"))
+    net = total(joined, "net_revenue").cast("double")
+    return joined.groupBy("agg_date").agg(net.alias("net_rev"))
 
 
 def headline(frame: DataFrame, merchants: DataFrame, chosen: Filters) -> DataFrame:
     """One row of totals and rates; all NULL when nothing matches."""
     kept = flt.date_range(frame, chosen.period)
     joined = with_merchant(kept, chosen.chosen(merchants))
-    sums = joined.agg(*[F.sum(c).alias(c) for c in ("net_revenue",) + COUNTS])
+    sums = joined.agg(*[total(joined, c).alias(c) for c in ("net_revenue",) + COUNTS])
     return _with_rates(sums).select(
         F.col("net_revenue").cast("double").alias("total_rev"),
         F.col("total_transactions").alias("total_txns"),
@@ -178,11 +190,13 @@ def period_compare(
         "_successful": F.when(current, F.col("successful_transactions")),
         "_refunded": F.when(current, F.col("refunded_transactions")),
     }
-    per_merchant = kept.groupBy("merchant_id").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    joined = per_merchant.join(
-        chosen.chosen(merchants).select("merchant_id"), "merchant_id", "inner"
+    summed = [F.sum(name).alias(name) for name in sums]
+    joined = join_merchants(
+        kept.select("merchant_id", *[value.alias(name) for name, value in sums.items()]),
+        chosen.chosen(merchants).select("merchant_id"),
+        lambda rows: rows.groupBy("merchant_id").agg(*summed),
     )
-    totals = joined.agg(*[F.sum(k).alias(k) for k in sums])
+    totals = joined.agg(*summed)
 
     revenue = F.col("total_rev").cast("double")
     previous = F.col("prev_rev").cast("double")

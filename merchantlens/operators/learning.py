@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from merchantlens import schemas
 from merchantlens.functions import rules
@@ -146,14 +146,13 @@ def run(
     """Trees where the history allows, the baseline elsewhere or without a model."""
     if model is None:
         return forecast.baseline(series, horizon, level)
-    lengths = series.groupBy("series_key").agg(F.count(F.lit(1)).alias("_rows"))
-    enough = lengths.where(F.col("_rows") >= MIN_ROWS).select("series_key")
-    short = lengths.where(F.col("_rows") < MIN_ROWS).select("series_key")
-    learned = recursive(
-        series.join(enough, "series_key", "left_semi"), model, horizon, level, cut_every
+    length = F.count(F.lit(1)).over(Window.partitionBy("series_key"))
+    sized = series.withColumn("_rows", length)
+    enough = sized.where(F.col("_rows") >= MIN_ROWS).drop("_rows")
+    short = sized.where(F.col("_rows") < MIN_ROWS).drop("_rows")
+    return recursive(enough, model, horizon, level, cut_every).unionByName(
+        forecast.baseline(short, horizon, level)
     )
-    simple = forecast.baseline(series.join(short, "series_key", "left_semi"), horizon, level)
-    return learned.unionByName(simple)
 
 
 def backtest(
@@ -164,18 +163,15 @@ def backtest(
     Predictions are matched with the held-out rows by position, since the
     features count rows as well.
     """
-    held = forecast.last_rows(series, holdout)
-    known = series.join(held.select("series_key", "agg_date"), ["series_key", "agg_date"], "left_anti")
-    known = cut_lineage(known)
+    aged = cut_lineage(forecast.aged(series))
+    known = aged.where(F.col("age") > holdout).drop("age")
     model = train(features.build(known), **training)
     predicted = recursive(known, model, holdout, cut_every=cut_every)
     last = known.groupBy("series_key").agg(F.max("agg_date").alias("last_date"))
     steps = predicted.join(last, "series_key").select(
-        "series_key",
-        "predicted_revenue",
-        F.datediff("target_date", "last_date").alias("step"),
+        "series_key", "predicted_revenue", F.datediff("target_date", "last_date").alias("step")
     )
-    actual = held.select(
+    actual = aged.where(F.col("age") <= holdout).select(
         "series_key", TARGET, (F.lit(holdout + 1) - F.col("age")).alias("step")
     )
     return forecast.mape(actual.join(steps, ["series_key", "step"]), TARGET, "predicted_revenue")

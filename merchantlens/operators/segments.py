@@ -15,7 +15,7 @@ from merchantlens.operators.filters import Filters
 def by_category(frame: DataFrame, merchants: DataFrame) -> DataFrame:
     """D3: net revenue by business category, largest first."""
     joined = kpis.with_merchant(frame, merchants, "business_category")
-    net = F.sum("net_revenue").cast("double")
+    net = kpis.total(joined, "net_revenue").cast("double")
     return (
         joined.groupBy("business_category")
         .agg(net.alias("total_net_revenue"))
@@ -35,7 +35,7 @@ def top_segments(
     joined = kpis.with_merchant(kept, chosen.chosen(merchants), segment)
     return (
         joined.groupBy(F.col(segment).alias("segment"))
-        .agg(F.sum("net_revenue").cast("double").alias("rev"))
+        .agg(kpis.total(joined, "net_revenue").cast("double").alias("rev"))
         .orderBy(F.desc_nulls_last("rev"), "segment")
         .limit(limit)
     )
@@ -85,16 +85,17 @@ def payment_mix(
     The category and merchant filters do not apply unless ``merchants`` and
     ``chosen`` are given.
     """
-    kept = flt.ts_range(txns, period, include_end)
+    rows = flt.ts_range(txns, period, include_end).select(
+        "merchant_id", "payment_method", F.lit(1).cast("long").alias("n")
+    )
+    count = F.sum("n")
     if merchants is not None and chosen is not None:
-        per_merchant = kept.groupBy("merchant_id", "payment_method").agg(
-            F.count(F.lit(1)).alias("n")
+        rows = kpis.join_merchants(
+            rows,
+            chosen.chosen(merchants).select("merchant_id"),
+            lambda r: r.groupBy("merchant_id", "payment_method").agg(count.alias("n")),
         )
-        dimension = chosen.chosen(merchants).select("merchant_id")
-        counted = per_merchant.join(dimension, "merchant_id", "inner")
-        mix = counted.groupBy("payment_method").agg(F.sum("n").alias("txn_count"))
-    else:
-        mix = kept.groupBy("payment_method").agg(F.count(F.lit(1)).alias("txn_count"))
+    mix = rows.groupBy("payment_method").agg(count.alias("txn_count"))
     total = mix.agg(F.sum("txn_count").alias("total")).scalar()
     return mix.withColumn("total_txns", total)
 

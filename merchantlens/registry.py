@@ -472,6 +472,12 @@ def gbt_importance(spark, sf_dir):
     return forecast.label_features(learning.importance(model, spark))
 
 
+@query
+def gbt_backtest(spark, sf_dir):
+    """I8, for the trees"""
+    return learning.backtest(_category_series(spark, sf_dir), trees=TREES)
+
+
 # --- Alerts and answers ------------------------------------------------------
 
 

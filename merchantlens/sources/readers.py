@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from merchantlens import schemas
@@ -39,3 +42,13 @@ def read_importance(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; its month folders come back as a DATE column."""
     return spark.read.parquet(path)
+
+
+def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` returns, or ``None`` where its path does not exist (A10)."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

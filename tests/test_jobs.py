@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from merchantlens import __main__ as command
 from merchantlens.functions.dates import Period
 from merchantlens.operators import enrich
 from merchantlens.operators.filters import Filters
@@ -131,3 +132,28 @@ def test_ask(spark, house):
     answers = {r.intent: r.answer for r in got.collect()}
     assert "most popular payment method" in answers["payment"]
     assert "refund rate is currently at **4.9%**" in answers["refund"]
+
+
+def test_command_line(spark, house, forecasts, tmp_path, capsys):
+    root, out = house[0], str(tmp_path / "out")
+    cli = lambda *argv: command.run(spark, command.arguments(list(argv)))
+    chosen = ("--start", "2024-11-01", "--end", "2024-12-09")
+    cli("explore", root, "--out", out)
+    cli("check", root, "--out", out)
+    cli("dashboard", root, *chosen, "--out", out)
+    header = {"header": True}
+    assert spark.read.options(**header).csv(f"{out}/platform_revenue_trend").count() == DAYS
+    assert spark.read.options(**header).csv(f"{out}/report").columns == [
+        "agg_date",
+        "net_revenue",
+        "total_transactions",
+    ]
+    assert spark.read.options(**header).csv(f"{out}/drivers").count() == 6
+    cli("ask", root, *chosen, "What does the future hold?")
+    assert "Looking ahead 30 days" in capsys.readouterr().out
+
+
+def test_missing_tables_are_none(spark, tmp_path):
+    gone = str(tmp_path / "gone")
+    assert readers.if_present(lambda: readers.read_table(spark, gone)) is None
+    assert readers.if_present(lambda: readers.read_importance(spark, gone)) is None

@@ -13,6 +13,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+LEARNED = {"gbt_forecast": 150, "gbt_importance": 6, "gbt_backtest": 5}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
@@ -31,7 +32,7 @@ def ordered(found):
 
 def test_only_learned_queries_lack_a_text():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"gbt_forecast", "gbt_importance"}
+    assert set(QUERIES) - set(ORACLE) == set(LEARNED)
 
 
 def test_entry(spark):
@@ -49,6 +50,6 @@ def test_query(spark, duck, name):
     assert mine == ordered(duck.sql(f"SELECT {quoted} FROM ({ORACLE[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name, count", [("gbt_forecast", 150), ("gbt_importance", 6)])
+@pytest.mark.parametrize("name, count", LEARNED.items())
 def test_learned_query(spark, name, count):
     assert QUERIES[name](spark, SF).count() == count
