@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -96,24 +97,27 @@ def recursive(
     model: PipelineModel,
     horizon: int = rules.HORIZON,
     level: str = PLATFORM,
-    cut_every: int = 10,
+    cut_every: int = 5,
 ) -> DataFrame:
     """Predict a day, append it to the history, predict the next.
 
     All series advance together; a step is a narrow map over one row per series
     and shuffles nothing.  The state is written out every ``cut_every`` steps,
-    which bounds both the plan and what a lost executor costs.
+    which bounds both the plan and what a lost executor costs, and after the
+    last, so that no later filter is pushed down through the chain of steps.
     """
+    trees: GBTRegressionModel = model.stages[-1]
     values, day = F.col("h"), F.col("target_date")
     inputs = features.calendar(day)
     inputs.update({f"revenue_lag_{k}": _back(values, k) for k in rules.LAGS})
     inputs.update({f"rolling_avg_{n}d": _mean_back(values, n) for n in rules.ROLLING})
-    value = F.greatest(F.col("prediction"), F.lit(0.0)).alias("value")
+    vector = array_to_vector(F.array(*[inputs[name].cast("double") for name in FEATURES]))
+    value = F.greatest(F.col("prediction"), F.lit(0.0))
     advanced = (
         F.col("series_key"),
         F.date_add(day, 1).alias("target_date"),
-        _push(values, F.col("value")).alias("h"),
-        F.concat("predicted", F.array("value")).alias("predicted"),
+        _push(values, value).alias("h"),
+        F.concat("predicted", F.array(value)).alias("predicted"),
     )
     state = cut_lineage(
         history(series).select(
@@ -124,9 +128,8 @@ def recursive(
         )
     )
     for step in range(1, horizon + 1):
-        scored = model.transform(state.withColumns(inputs))
-        state = scored.select("*", value).select(*advanced)
-        if step % cut_every == 0 and step < horizon:
+        state = trees.transform(state.select("*", vector.alias("features"))).select(*advanced)
+        if step % cut_every == 0 or step == horizon:
             state = cut_lineage(state)
     days = state.select(
         "series_key",
@@ -141,7 +144,7 @@ def run(
     model: PipelineModel | None,
     horizon: int = rules.HORIZON,
     level: str = PLATFORM,
-    cut_every: int = 10,
+    cut_every: int = 5,
 ) -> DataFrame:
     """Trees where the history allows, the baseline elsewhere or without a model."""
     if model is None:
@@ -156,7 +159,7 @@ def run(
 
 
 def backtest(
-    series: DataFrame, holdout: int = rules.HORIZON, cut_every: int = 10, **training
+    series: DataFrame, holdout: int = rules.HORIZON, cut_every: int = 5, **training
 ) -> DataFrame:
     """I8 for the trees: trained before the last ``holdout`` rows, scored on them.
 
