@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 from decimal import Decimal
 
@@ -111,25 +111,39 @@ def seasonal_index(
     )
 
 
-EVENT_SCHEMA = T.StructType(
+EFFECTS = T.StructType(
     [
-        T.StructField("event_date", T.DateType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("payment_method", T.StringType()),
         T.StructField("volume_mult", T.DoubleType()),
         T.StructField("success_prob", T.DoubleType()),
         T.StructField("refund_prob", T.DoubleType()),
+        T.StructField("label", T.StringType()),
     ]
 )
 
 
-def event_table(spark: SparkSession, events: Iterable[rules.Event] = rules.EVENTS) -> DataFrame:
-    """The event list as a table; a local relation, whose size Catalyst knows."""
-    rows = [
-        (e.event_date, e.label, e.payment_method, e.volume_mult, e.success_prob, e.refund_prob)
-        for e in events
-    ]
-    return constant_table(spark, rows, EVENT_SCHEMA)
+def event_table(
+    spark: SparkSession, events: Iterable[rules.Event], of_method: bool, day: str = "agg_date"
+) -> DataFrame:
+    """The events of whole days, or those of one payment method, by their key.
+
+    Events that share a key are merged, the later one first, so that a join
+    never adds rows.
+    """
+    merged: dict[tuple, dict] = {}
+    for event in events:
+        if (event.payment_method is not None) == of_method:
+            key = (event.event_date, event.payment_method) if of_method else (event.event_date,)
+            known = {name: getattr(event, name) for name in EFFECTS.names}
+            merged.setdefault(key, dict.fromkeys(EFFECTS.names)).update(
+                {name: value for name, value in known.items() if value is not None}
+            )
+    keys = [T.StructField(day, T.DateType())]
+    if of_method:
+        keys.append(T.StructField("payment_method", T.StringType()))
+    prefix = "_method_" if of_method else "_day_"
+    effects = [T.StructField(prefix + f.name, f.dataType) for f in EFFECTS]
+    rows = [(*key, *effect.values()) for key, effect in merged.items()]
+    return constant_table(spark, rows, T.StructType(keys + effects))
 
 
 def usual_success(method: Column) -> Column:
@@ -141,27 +155,19 @@ def usual_success(method: Column) -> Column:
     )
 
 
-EFFECTS = ("volume_mult", "success_prob", "refund_prob", "label")
-
-
-def _effects(events: DataFrame, prefix: str, *keys: str) -> DataFrame:
-    """One row per key, so that joining events never adds rows."""
-    return events.groupBy(*keys).agg(*[F.max(c).alias(prefix + c) for c in EFFECTS])
-
-
-def event_calendar(df: DataFrame, events: DataFrame, day: str = "agg_date") -> DataFrame:
+def event_calendar(
+    df: DataFrame, events: Sequence[rules.Event] = rules.EVENTS, day: str = "agg_date"
+) -> DataFrame:
     """K4: volume multiplier, success and refund probability of each row.
 
     An event of one payment method goes before an event of the whole day, and
-    that before the usual value.  The events are a local relation of known
-    size, so Catalyst broadcasts them by itself.
+    that before the usual value.  The events are constants of known size, which
+    Catalyst broadcasts by itself.
     """
-    dated = events.withColumnRenamed("event_date", day)
-    of_day = _effects(dated.where(F.col("payment_method").isNull()), "_day_", day)
-    of_method = _effects(
-        dated.where(F.col("payment_method").isNotNull()), "_method_", day, "payment_method"
+    spark = df.sparkSession
+    joined = df.join(event_table(spark, events, False, day), day, "left").join(
+        event_table(spark, events, True, day), [day, "payment_method"], "left"
     )
-    joined = df.join(of_day, day, "left").join(of_method, [day, "payment_method"], "left")
 
     def effect(name: str, *usual: Column) -> Column:
         return F.coalesce(F.col(f"_method_{name}"), F.col(f"_day_{name}"), *usual)
@@ -175,7 +181,9 @@ def event_calendar(df: DataFrame, events: DataFrame, day: str = "agg_date") -> D
     )
 
 
-def event_effect(measures: DataFrame, events: DataFrame) -> DataFrame:
+def event_effect(
+    measures: DataFrame, events: Sequence[rules.Event] = rules.EVENTS
+) -> DataFrame:
     """K4 next to what was observed, per day and payment method.
 
     ``measures`` needs ``payment_method``.  A payment succeeds unless it fails,

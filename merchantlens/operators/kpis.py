@@ -132,9 +132,8 @@ def platform_trend(frame: DataFrame) -> DataFrame:
 
 def _with_rates(sums: DataFrame) -> DataFrame:
     """Status counts as percentages of all transactions."""
-    for rate, count in RATES.items():
-        sums = sums.withColumn(rate, numbers.percent(F.col(count), F.col("total_transactions")))
-    return sums
+    whole = F.col("total_transactions")
+    return sums.withColumns({r: numbers.percent(F.col(c), whole) for r, c in RATES.items()})
 
 
 def daily_rates(frame: DataFrame) -> DataFrame:

@@ -174,8 +174,7 @@ def seasonal_index(spark, sf_dir):
 @query
 def event_effect(spark, sf_dir):
     """K4"""
-    events = enrich.event_table(spark, EVENTS)
-    return enrich.event_effect(_frame(spark, sf_dir), events)
+    return enrich.event_effect(_frame(spark, sf_dir), EVENTS)
 
 
 # --- Filters -----------------------------------------------------------------

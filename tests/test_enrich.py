@@ -78,7 +78,7 @@ def test_event_calendar_K4(spark):
         ],
         "agg_date date, payment_method string",
     )
-    got = rows(enrich.event_calendar(df, enrich.event_table(spark)), "agg_date", "payment_method")
+    got = rows(enrich.event_calendar(df), "agg_date", "payment_method")
     assert [r[2:] for r in got] == [
         (0.2, 0.95, 0.03, "Gateway outage"),
         (1.0, 0.92, 0.15, "High refund day"),
@@ -94,15 +94,28 @@ def test_events_of_one_day_do_not_multiply_rows(spark):
         rules.Event(day("2024-01-01"), "b", refund_prob=0.5),
     )
     df = spark.createDataFrame([(day("2024-01-01"), "UPI")], "agg_date date, payment_method string")
-    got = rows(enrich.event_calendar(df, enrich.event_table(spark, twice)))
+    got = rows(enrich.event_calendar(df, twice))
     assert got == [(day("2024-01-01"), "UPI", 2.0, 0.95, 0.5, "b")]
 
 
-def test_event_effect_rates(spark, txns):
-    effect = enrich.event_effect(kpis.measures(txns), enrich.event_table(spark))
+def test_event_effect_rates(txns):
+    effect = enrich.event_effect(kpis.measures(txns))
     got = {(r.agg_date, r.payment_method): r for r in effect.collect()}
     wallet = got[(day("2024-10-01"), "Wallet")]
     assert (wallet.observed_success_rate, wallet.observed_refund_rate) == (100.0, 100.0)
     debit = got[(day("2024-10-02"), "Debit Card")]
     assert (debit.observed_success_rate, debit.observed_refund_rate) == (0.0, None)
     assert debit.expected_success_rate == pytest.approx(92.0)
+
+
+def test_seasonal_index_with_an_event(spark):
+    df = spark.createDataFrame(
+        [(day("2024-07-15"), "Travel", None), (day("2024-07-16"), "Travel", None)],
+        "agg_date date, business_category string, payment_method string",
+    )
+    index = enrich.seasonal_index(
+        enrich.event_calendar(df), F.lit(10), F.lit(1.0), event_mult=F.col("volume_mult")
+    )
+    got = rows(index.select("seasonal_volume", "expected_volume"))
+    assert [r[0] for r in got] == pytest.approx([24.3, 8.1])
+    assert [r[1] for r in got] == [24, 8]

@@ -141,6 +141,13 @@ def test_small_merchants_leave_one_shuffle(stored):
     assert count == 1 and "BroadcastHashJoin" in text and "CartesianProduct" not in text
 
 
+def test_events_are_broadcast_constants(stored):
+    effect = enrich.event_effect(kpis.measures(stored[0]))
+    count, text = shuffles(effect)
+    assert count == 1 and text.count("BroadcastHashJoin") == 2
+    assert text.count("LocalTableScan") == 2
+
+
 def test_shares_reuse_the_shuffle(stored):
     done = segments.payment_distribution(stored[0])
     done.collect()
