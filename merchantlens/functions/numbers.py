@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -10,15 +12,28 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(F.lit(100.0) * part.cast("double"), whole.cast("double"))
 
 
-def exact(df: DataFrame, name: str) -> Column:
-    """A money column as DECIMAL, so that sums do not depend on row order.
+def cents(df: DataFrame, name: str) -> Column:
+    """A money column in whole cents, as BIGINT.
 
-    Transactions carry DECIMAL already; stored daily rows carry DOUBLE, whose
-    cents the cast recovers.
+    Integer sums do not depend on row order and cost a fraction of DECIMAL ones.
+    Transactions carry DECIMAL with two places; stored daily rows carry DOUBLE,
+    whose cents are recovered by rounding.  Under ANSI mode, the default, a sum
+    beyond 92 quadrillion stops the job rather than wrapping round.
     """
+    value = F.col(name)
     if isinstance(df.schema[name].dataType, T.DecimalType):
-        return F.col(name)
-    return F.col(name).cast("decimal(28,2)")
+        return (value * F.lit(100)).cast("bigint")
+    return F.rint(value * F.lit(100.0)).cast("bigint")
+
+
+def from_cents(value: Column) -> Column:
+    """Whole cents as DECIMAL money."""
+    return (value.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")
+
+
+def exact_sum(df: DataFrame, name: str) -> Column:
+    """Sum of a money column, added up in cents."""
+    return from_cents(F.sum(cents(df, name)))
 
 
 def thousands(value: Column) -> Column:

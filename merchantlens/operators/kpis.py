@@ -55,7 +55,7 @@ def measures(txns: DataFrame) -> DataFrame:
 
 def total(df: DataFrame, name: str) -> Column:
     """Exact sum of one additive column."""
-    return F.sum(numbers.exact(df, name) if name in AMOUNTS else name)
+    return numbers.exact_sum(df, name) if name in AMOUNTS else F.sum(name)
 
 
 def rollup_to(df: DataFrame, *keys: str) -> DataFrame:
@@ -181,7 +181,7 @@ def period_compare(
     kept = flt.date_range(frame, Period(before.start, now.end))
     current = flt.in_period(F.col("agg_date"), now)
     earlier = flt.in_period(F.col("agg_date"), before)
-    net = numbers.exact(frame, "net_revenue")
+    net = numbers.cents(frame, "net_revenue")
     sums = {
         "total_rev": F.when(current, net),
         "prev_rev": F.when(earlier, net),
@@ -197,8 +197,8 @@ def period_compare(
     )
     totals = joined.agg(*summed)
 
-    revenue = F.col("total_rev").cast("double")
-    previous = F.col("prev_rev").cast("double")
+    revenue = numbers.from_cents(F.col("total_rev")).cast("double")
+    previous = numbers.from_cents(F.col("prev_rev")).cast("double")
     no_base = F.col("prev_rev").isNull() | (F.col("prev_rev") == 0)
     trend = F.when(no_base, F.lit(0.0)).otherwise(
         F.try_divide(revenue - previous, previous) * F.lit(100.0)

@@ -67,7 +67,7 @@ def payment_distribution(txns: DataFrame, drop_null: bool = True) -> DataFrame:
         txns = txns.na.drop(subset=["payment_method"])
     grouped = txns.groupBy("payment_method").agg(
         F.count(F.lit(1)).alias("txn_count"),
-        F.sum(numbers.exact(txns, "transaction_amount")).alias("total_amount"),
+        numbers.exact_sum(txns, "transaction_amount").alias("total_amount"),
     )
     shared = with_shares(grouped, count_share="txn_count", amount_share="total_amount")
     return shared.withColumn("total_amount", F.col("total_amount").cast("double"))
