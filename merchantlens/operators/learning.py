@@ -92,6 +92,27 @@ def _push(values: Column, value: Column) -> Column:
     )
 
 
+def step_inputs(values: Column, day: Column) -> dict[str, Column]:
+    """Model inputs of ``day`` from the values before it."""
+    inputs = features.calendar(day)
+    inputs.update({f"revenue_lag_{k}": _back(values, k) for k in rules.LAGS})
+    inputs.update({f"rolling_avg_{n}d": _mean_back(values, n) for n in rules.ROLLING})
+    return {name: inputs[name] for name in FEATURES}
+
+
+def start(series: DataFrame) -> DataFrame:
+    """The state before the first step: next day and history of each series."""
+    return history(series).select(
+        "series_key", F.date_add("last_date", 1).alias("target_date"), "h"
+    )
+
+
+def next_inputs(series: DataFrame) -> DataFrame:
+    """What the model sees of each series' first day to come."""
+    inputs = step_inputs(F.col("h"), F.col("target_date"))
+    return start(series).withColumns(inputs).drop("h")
+
+
 def recursive(
     series: DataFrame,
     model: PipelineModel,
@@ -108,10 +129,8 @@ def recursive(
     """
     trees: GBTRegressionModel = model.stages[-1]
     values, day = F.col("h"), F.col("target_date")
-    inputs = features.calendar(day)
-    inputs.update({f"revenue_lag_{k}": _back(values, k) for k in rules.LAGS})
-    inputs.update({f"rolling_avg_{n}d": _mean_back(values, n) for n in rules.ROLLING})
-    vector = array_to_vector(F.array(*[inputs[name].cast("double") for name in FEATURES]))
+    inputs = step_inputs(values, day).values()
+    vector = array_to_vector(F.array(*[value.cast("double") for value in inputs]))
     value = F.greatest(F.col("prediction"), F.lit(0.0))
     advanced = (
         F.col("series_key"),
@@ -119,14 +138,8 @@ def recursive(
         _push(values, value).alias("h"),
         F.concat("predicted", F.array(value)).alias("predicted"),
     )
-    state = cut_lineage(
-        history(series).select(
-            "series_key",
-            F.date_add("last_date", 1).alias("target_date"),
-            "h",
-            F.array().cast("array<double>").alias("predicted"),
-        )
-    )
+    nothing = F.array().cast("array<double>")
+    state = cut_lineage(start(series).withColumn("predicted", nothing))
     for step in range(1, horizon + 1):
         state = trees.transform(state.select("*", vector.alias("features"))).select(*advanced)
         if step % cut_every == 0 or step == horizon:

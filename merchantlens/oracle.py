@@ -445,6 +445,28 @@ SELECT feature, CASE feature {labels} ELSE feature END AS feature_friendly,
        round(impact, 4) AS impact
 FROM shares ORDER BY shares.impact DESC, feature LIMIT 6"""
 
+    sql["importance_csv"] = sql["importance_labelled"]
+
+    def back(k: int) -> str:
+        return f"coalesce(max(net) FILTER (age = {k}), max(net) FILTER (age = 1))"
+
+    sql["next_day_inputs"] = f"""WITH {DAILY}, ranked AS (
+  SELECT merchant_id, agg_date, CAST(net AS DOUBLE) AS net,
+         row_number() OVER (PARTITION BY merchant_id ORDER BY agg_date DESC) AS age
+  FROM daily), last AS (
+  SELECT CAST(merchant_id AS VARCHAR) AS series_key, max(agg_date) + 1 AS target_date,
+         {back(1)} AS revenue_lag_1, {back(7)} AS revenue_lag_7,
+         {back(14)} AS revenue_lag_14, {back(30)} AS revenue_lag_30,
+         round(avg(net) FILTER (age <= 7), 6) AS rolling_avg_7d,
+         round(avg(net) FILTER (age <= 30), 6) AS rolling_avg_30d
+  FROM ranked GROUP BY merchant_id)
+SELECT * REPLACE ({day_text('target_date')} AS target_date),
+       CAST(isodow(last.target_date) - 1 AS INTEGER) AS day_of_week,
+       CAST(day(last.target_date) AS INTEGER) AS day_of_month,
+       CAST(month(last.target_date) AS INTEGER) AS month,
+       CASE WHEN isodow(last.target_date) >= 6 THEN 1 ELSE 0 END AS is_weekend
+FROM last"""
+
     # --- Alerts and answers
     sql["refund_alerts"] = f"""WITH {DAILY}, months AS (
   SELECT date_trunc('month', agg_date) AS month, CAST(sum(total) AS BIGINT) AS total_transactions,
@@ -484,6 +506,7 @@ FROM scored WHERE {' OR '.join(f'abs(z_{m}) > 3' for m in metrics)}"""
 
     # --- Sources and sinks
     sql["stored_daily"] = f"WITH {DAILY}\n{trend} WHERE {IN_PERIOD} GROUP BY daily.agg_date"
+    sql["appended_transactions"] = sql["platform_trend"]
     sql["stored_transactions"] = sql["payment_mix"]
     sql["csv_transactions"] = rates
     sql["csv_merchants"] = f"""WITH {MERCHANTS}

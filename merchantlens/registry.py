@@ -443,16 +443,41 @@ def stored_forecasts(spark, sf_dir):
     return ids
 
 
-@query
-def importance_labelled(spark, sf_dir):
-    """C2, D12, F4, with each feature weighted by its correlation with revenue"""
+def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's correlation with revenue, as its importance."""
     frame = features.build(features.date_spine(_category_series(spark, sf_dir)))
     weights = frame.agg(
-        *[F.abs(F.corr(F.col(f).cast("double"), features.TARGET)).alias(f) for f in features.FEATURES]
+        *[
+            F.abs(F.corr(F.col(name).cast("double"), features.TARGET)).alias(name)
+            for name in features.FEATURES
+        ]
     )
-    names = ", ".join(f"'{f}', {f}" for f in features.FEATURES)
-    importance = weights.selectExpr(f"stack({len(features.FEATURES)}, {names}) AS (feature, importance)")
-    return _rounded(forecast.label_features(importance), 4, "impact")
+    pairs = ", ".join(f"'{name}', {name}" for name in features.FEATURES)
+    return weights.selectExpr(
+        f"stack({len(features.FEATURES)}, {pairs}) AS (feature, importance)"
+    )
+
+
+@query
+def importance_labelled(spark, sf_dir):
+    """C2, D12, F4"""
+    return _rounded(forecast.label_features(_correlations(spark, sf_dir)), 4, "impact")
+
+
+@query
+def importance_csv(spark, sf_dir):
+    """A10: importances written as CSV, read back and labelled"""
+    path = scratch_path(spark, "importance")
+    writers.write_importance(_correlations(spark, sf_dir), path)
+    stored = readers.read_importance(spark, path)
+    return _rounded(forecast.label_features(stored), 4, "impact")
+
+
+@query
+def next_day_inputs(spark, sf_dir):
+    """E5, E6, on the short histories of single merchants"""
+    series = features.daily_series(_frame(spark, sf_dir), features.MERCHANT)
+    return _rounded(learning.next_inputs(series), 6, "rolling_avg_7d", "rolling_avg_30d")
 
 
 @query
@@ -533,6 +558,17 @@ def stored_daily(spark, sf_dir):
     return kpis.platform_trend(flt.date_range(stored, PERIOD))
 
 
+@query
+def appended_transactions(spark, sf_dir):
+    """A3, A4: a table replaced by the first loads and appended by the rest"""
+    path = scratch_path(spark, "appended")
+    txns = star.transactions(spark, sf_dir)
+    early = F.col("transaction_date") < dates.timestamp_literal(PERIOD.start)
+    writers.replace_table(txns.where(early), path)
+    writers.append_table(txns.where(~early), path)
+    return kpis.platform_trend(kpis.measures(readers.read_table(spark, path)))
+
+
 @query
 def stored_transactions(spark, sf_dir):
     """Transactions stored by month, then the payment mix of a period"""
