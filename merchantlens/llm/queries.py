@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantlens.llm import ann, lines, sharding, topk
+from merchantlens.llm import ann, bpe, lines, packing, sharding, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and the text decoded from them, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"), key="doc_id")
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"))
@@ -24,6 +38,11 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -31,12 +50,25 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_sharding, op4_nearest, op7_line_dedup, op10_top_k)
+    found = (
+        op1_bpe,
+        op3_sharding,
+        op4_nearest,
+        op5_url_filter,
+        op7_line_dedup,
+        op9_packing,
+        op10_top_k,
+    )
     return {query.__name__: query for query in found}
 
 
@@ -87,9 +119,88 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+def _urls_sql() -> str:
+    size, alphabet = urls.SIZE, urls.ALPHABET
+    ordered = sorted(urls.RULES, key=lambda rule: (-len(rule.text), rule.text))
+
+    def first(of) -> str:
+        cases = [
+            f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}')"
+            f" THEN '{of(r)}'"
+            for r in ordered
+        ]
+        return f"CASE {' '.join(cases)} END"
+
+    return f"""
+    WITH rest AS (
+        SELECT row_number() OVER () AS n, page_id, url, CASE WHEN instr(url, '://') > 0
+            THEN substr(url, instr(url, '://') + 3) END AS rest
+        FROM pages),
+    parsed AS (
+        SELECT n, page_id, url,
+            coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+        FROM rest),
+    ruled AS (
+        SELECT *, {first(lambda r: r.text)} AS rule, {first(lambda r: r.verdict)} AS ruled,
+            ('0x' || left(md5(coalesce(url, '')), 8))::BIGINT % {urls.FOLDS} AS fold,
+            '^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'),
+                '[^0./\\-_%a-z]', '?', 'g') || '$' AS s
+        FROM parsed),
+    grams AS (
+        SELECT n, ruled, fold, p, instr('{alphabet}', s[p]) - 1 AS a,
+            instr('{alphabet}', s[p + 1]) - 1 AS b, instr('{alphabet}', s[p + 2]) - 1 AS c
+        FROM (SELECT *, unnest(range(1, length(s) - 1)) AS p FROM ruled)),
+    counts AS (
+        SELECT ruled AS verdict, a, b, c, count(*) AS n FROM grams
+        WHERE ruled IS NOT NULL AND fold <> 0 GROUP BY ALL),
+    symbols AS (SELECT range AS x FROM range({size})),
+    whole AS (
+        SELECT v.verdict, a.x AS a, b.x AS b, c.x AS c, coalesce(counts.n, 0) AS n
+        FROM (VALUES ('allow'), ('block')) v(verdict), symbols a, symbols b, symbols c
+        LEFT JOIN counts ON counts.verdict = v.verdict AND counts.a = a.x AND counts.b = b.x
+            AND counts.c = c.x),
+    sums AS (
+        SELECT *, sum(n) OVER (PARTITION BY verdict, a, b) AS n_ab,
+            sum((n > 0)::INT) OVER (PARTITION BY verdict, a, b) AS t_ab,
+            sum(n) OVER (PARTITION BY verdict, b, c) AS n_bc,
+            sum(n) OVER (PARTITION BY verdict, b) AS n_b,
+            sum(n) OVER (PARTITION BY verdict, c) AS n_c, sum(n) OVER (PARTITION BY verdict) AS n_all
+        FROM whole),
+    followers AS (
+        SELECT *, sum((n_bc > 0)::INT) OVER (PARTITION BY verdict, b) / {size}::DOUBLE AS t_b,
+            (n_c + 0.5::DOUBLE) / (n_all + 0.5::DOUBLE * {size}) AS p1
+        FROM sums),
+    second AS (
+        SELECT *, CASE WHEN n_b > 0 THEN (n_bc + t_b * p1) / (n_b + t_b) ELSE p1 END AS p2 FROM followers),
+    ratios AS (
+        SELECT a, b, c, sum(CASE verdict WHEN 'allow' THEN 1 ELSE -1 END
+            * ln(CASE WHEN n_ab > 0 THEN (n + t_ab * p2) / (n_ab + t_ab) ELSE p2 END)) AS ratio
+        FROM second GROUP BY ALL),
+    scored AS (
+        SELECT n, floor(greatest(least(sum(ratio ORDER BY p) / count(*), 10), -10) * {urls.BINS}) AS score
+        FROM grams JOIN ratios USING (a, b, c) GROUP BY n),
+    bins AS (
+        SELECT score, count(*) FILTER (ruled = 'allow') AS allow, count(*) FILTER (ruled = 'block') AS block
+        FROM ruled JOIN scored USING (n) WHERE ruled IS NOT NULL AND fold = 0 GROUP BY score),
+    gains AS (
+        SELECT score, round(coalesce(sum(block) OVER below, 0)::DOUBLE / sum(block) OVER ()
+            - coalesce(sum(allow) OVER below, 0)::DOUBLE / sum(allow) OVER (), 9) AS gain
+        FROM bins WINDOW below AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    cut AS (
+        SELECT coalesce((SELECT score FROM gains WHERE isfinite(gain) ORDER BY gain DESC, score LIMIT 1), 0)
+            AS cut)
+    SELECT page_id, host, path, rule,
+        coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+    FROM ruled JOIN scored USING (n), cut
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": _sharding_sql(),
+        "op5_url_filter": _urls_sql(),
         "op7_line_dedup": _LINES_SQL,
         "op10_top_k": _TOP_K_SQL,
     }
