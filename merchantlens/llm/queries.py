@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantlens.llm import ann, bpe, lines, packing, sharding, topk, urls
+from merchantlens.llm import ann, bpe, jaccard, langid, lines, packing, quality, sharding, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("row.doc_id", "score", "p_text", "p_meta", "keep")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"))
@@ -43,6 +51,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.fit(docs)
+    found = langid.predict(docs.select("doc_id", "text"), network)
+    held_out = langid.held_out(F.col("row.doc_id")).alias("held_out")
+    return found.select("row.doc_id", held_out, "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -50,6 +66,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
@@ -62,10 +82,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_bpe,
+        op2_quality,
         op3_sharding,
         op4_nearest,
         op5_url_filter,
+        op6_language,
         op7_line_dedup,
+        op8_jaccard,
         op9_packing,
         op10_top_k,
     )
@@ -102,6 +125,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY n, doc_id
 """
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+sets AS (
+    SELECT d, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS s
+    FROM docs),
+items AS (SELECT d, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+    SELECT a.d AS a, b.d AS b FROM items a JOIN items b ON a.x = b.x AND a.d <> b.d
+    GROUP BY a.d, b.d, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached(d, e) AS (SELECT d, d FROM sets UNION SELECT r.d, l.b FROM reached r JOIN links l ON l.a = r.e)
+SELECT s.doc_id, len(any_value(s.s)) AS n_shingles, min(t.doc_id) AS component_id
+FROM reached r JOIN sets s ON s.d = r.d JOIN sets t ON t.d = r.e GROUP BY s.d, s.doc_id
+"""
+
 _TOP_K_SQL = """
 WITH fine AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec
@@ -202,5 +244,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_sharding": _sharding_sql(),
         "op5_url_filter": _urls_sql(),
         "op7_line_dedup": _LINES_SQL,
+        "op8_jaccard": _JACCARD_SQL,
         "op10_top_k": _TOP_K_SQL,
     }
