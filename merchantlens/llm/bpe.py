@@ -43,6 +43,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from merchantlens.llm.frames import carried
+
 #: Characters taken from a text at a time, and memoised words (each a few hundred bytes).
 PIECE = 1 << 16
 WINDOW = 1 << 12
@@ -472,8 +474,7 @@ _digest.names = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def _apply(rows: DataFrame, path: str, each, schema: str) -> DataFrame:
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _batches(b, path, each), f"row {kind}, {schema}")
+    return rows.mapInArrow(lambda b: _batches(b, path, each), carried(rows, "row", new=schema))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -503,5 +504,4 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["row", "text"])
 
     rows = tokens.select(F.struct("*").alias("row"), F.col(ids).alias("ids"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, text string")
+    return rows.mapInArrow(run, carried(rows, "row", new="text string"))

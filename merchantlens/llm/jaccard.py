@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
+from merchantlens.llm.frames import carried
 from merchantlens.session import cut_lineage
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -141,8 +142,8 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
             empty["count"] = pa.array(counts[seen])
             yield pa.record_batch(empty)
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n int, cid long, bits array<long>, bucket int, count long")
+    new = "n int, cid long, bits array<long>, bucket int, count long"
+    return docs.mapInArrow(run, carried(docs, "key", new=new))
 
 
 def _listed(docs: DataFrame, rule: Rule, rank: np.ndarray, boundary: int) -> DataFrame:
@@ -350,3 +351,15 @@ def _of_class(found: DataFrame, rule: Rule) -> DataFrame:
             yield batch.filter(pa.array(fits, pa.bool_()))
 
     return found.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
+
+
+def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the smallest key stays.
+
+    Rows that share a key stay or go together, equal ones once; rows with a null key stay.
+    """
+    found = join(docs, text, key, rule)
+    stays = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("stays")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    keyed = rows.join(stays, F.col("key") == F.col("stays"), "left_semi").dropDuplicates(["key", "text"])
+    return keyed.unionByName(rows.where("key IS NULL")).select("row.*")

@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from merchantlens.llm.frames import carried
 from merchantlens.llm.sample import by_hash, share_of
 
 WINDOW = 256
@@ -215,8 +216,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
                 ["row", "lang_pred", "score"],
             )
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, carried(rows, "row", new="lang_pred string, score double"))
 
 
 def _of_texts(network: Network, texts: pa.Array) -> tuple[list[str], list[float]]:

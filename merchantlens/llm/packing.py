@@ -31,6 +31,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from merchantlens.llm.frames import carried
 from merchantlens.session import cut_lineage
 
 LENGTH = 4096
@@ -227,10 +228,10 @@ def pack(
         return frame
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    first = cut_lineage(rows.mapInArrow(run, f"key {kind}, {_SCHEMA}, ids binary, part long"))
+    schema = carried(rows, "key", new=f"{_SCHEMA}, ids binary")
+    first = cut_lineage(rows.mapInArrow(run, carried(rows, "key", new=f"{_SCHEMA}, ids binary, part long")))
     left_over = first.where(F.col("part").isNotNull())
     group = F.floor(F.col("part") / MERGED).alias("group")
-    rest = left_over.groupBy(group).applyInPandas(merged, f"key {kind}, {_SCHEMA}, ids binary")
+    rest = left_over.groupBy(group).applyInPandas(merged, schema)
     whole = first.where(F.col("part").isNull()).drop("part").unionAll(rest)
     return whole.select(F.col("key").alias(key), *_NAMES, *(["ids"] if with_ids else []))

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from merchantlens.llm.frames import carried
 from merchantlens.llm.sample import bounded
 
 LABELLED, POOL = 12_000, 12_000
@@ -228,8 +229,8 @@ def fit(
             columns = [batch.column("key"), batch.column("y"), *map(pa.array, views)]
             yield pa.RecordBatch.from_arrays(columns, ["key", "y", "text", "meta"])
 
-    kind = keyed.schema["key"].dataType.simpleString()
-    rows = told.unionByName(others).mapInArrow(run, f"key {kind}, y double, {_VIEWS}").collect()
+    schema = carried(keyed, "key", new=f"y double, {_VIEWS}")
+    rows = told.unionByName(others).mapInArrow(run, schema).collect()
     rows.sort(key=lambda row: (str(row.key), tuple(row.text)))
     if not rows:
         return None
@@ -257,6 +258,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", cut: float =
                 columns = [batch.column("row"), *map(pa.array, found)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", *names])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, score double, p_text double, p_meta double"
+    schema = carried(rows, "row", new="score double, p_text double, p_meta double")
     return rows.mapInArrow(run, schema).withColumn("keep", F.col("score") >= cut)
