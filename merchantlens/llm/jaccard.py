@@ -14,7 +14,7 @@ judged by the mean list length; the latter and the order come from one sketch, t
 shingles in each of 65,536 hash ranges over all documents.  Its size is fixed.
 
 Nothing lists all pairs of a group of near copies.  First each class meets its
-``NEIGHBOURS`` next ones in each list; a bitmap of each set bounds what two sets can
+``NEIGHBOURS`` next ones in each list, in an order by hash; a bitmap of each set bounds what two sets can
 share and leaves hardly a false pair.  The links found give components.  Then, in each
 list, only classes of different components still meet, and those outside the
 list's largest component are the ones that scan.  All pairs are covered: each either
@@ -48,7 +48,7 @@ WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 BUCKETS = 1 << 16
 BITS = 512
 LARGEST_LIGHT = 24
-NEIGHBOURS = 6
+NEIGHBOURS = 4
 #: Rows of a list that one task sorts.
 LIST_ROWS = 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -223,7 +223,8 @@ def _next_ones(lists: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     # Long lists are cut by hash; pairs across the cuts come later.
     part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("classes") / LIST_ROWS))
     scanned = lists.where("pos >= 0").select("token", part.alias("part"), entry.alias("x"))
-    order = Window.partitionBy("token", "part").orderBy("x.n", "x.cid")
+    # Another order in each list, so that a class meets others in each.
+    order = Window.partitionBy("token", "part").orderBy(F.xxhash64("token", "x.cid"), "x.cid")
     next_ones = F.array(*[F.lead("x", k).over(order) for k in range(1, NEIGHBOURS + 1)])
     met = scanned.select("x", next_ones.alias("ys"))
     x = F.col("x")
@@ -276,24 +277,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, root): the smallest id that links lead to, for every id that has a link.
+    """(cid, root): one id for all ids that links join, for every id that has a link.
 
-    Each round takes the smallest root among the neighbours, then the root of that
-    root.  The state is written every round; ends when nothing changes.
+    Each round maps an id to its smallest neighbour's smallest neighbour and replaces the
+    links by those between the ids mapped to, so links within a component disappear and
+    each round reads fewer.  Links and mapping are written every round.
     """
-    both = cut_lineage(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).toDF("cid", "root"))
-    while True:
-        near = both.join(roots.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
-        lower = roots.join(near.withColumnRenamed("a", "cid"), "cid").select(
-            "cid", F.col("root").alias("old"), F.least("root", "near").alias("root")
-        )
-        jump = lower.select(F.col("cid").alias("root"), F.col("root").alias("next"))
-        lower = lower.join(jump, "root").select("cid", "old", F.least("root", "next").alias("root"))
-        lower = cut_lineage(lower)
-        roots = lower.select("cid", "root")
-        if lower.where("root <> old").isEmpty():
-            return roots
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = cut_lineage(edges.where("a <> b"))
+    ids = edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    roots = cut_lineage(ids.withColumn("root", F.col("cid")))
+    while not edges.isEmpty():
+        low = edges.groupBy("b").agg(F.min("a").alias("up")).toDF("cid", "up")
+        higher = low.toDF("up", "top")
+        low = cut_lineage(low.join(higher, "up", "left").select("cid", F.coalesce("top", "up").alias("up")))
+        roots = roots.join(low.toDF("root", "up"), "root", "left")
+        roots = cut_lineage(roots.select("cid", F.coalesce("up", "root").alias("root")))
+        for end in ("a", "b"):
+            edges = edges.join(low.toDF(end, "up"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+        edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = cut_lineage(edges.distinct())
+    return roots
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
