@@ -20,9 +20,13 @@ repeated rows are documents of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import compress
+from operator import is_
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -38,13 +42,21 @@ LENGTH = 4096
 OPEN_WINDOWS = 64
 LEAST_CUT = 16
 END_ID = 2
-MERGED = 32
-MEMO = 400_000
+MERGED = 8
+MEMO = 800_000
 TEXTS = 256
+#: Words encoded in one call.
+TOGETHER = 2048
+is_none = partial(is_, None)
 #: Characters whose lower case depends on their neighbours, and the mark of special tokens.
 _PLAIN = regex.compile(r"Σ|<\|")
 
 
+def _settled(letter: str) -> bool:
+    """Whether a character is a letter or digit that the normaliser leaves alone."""
+    return letter.isalnum() and letter == letter.lower() and is_normalized("NFC", letter)
+
+
 class WordIds(dict):
     """The packed ids of what stands between two spaces, as the library gives them."""
 
@@ -57,28 +69,47 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
     def _ids(self, words: list[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
+            yield struct.pack(f"<{len(found.ids)}I", *found.ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words; those of letters alone many at a time, cut after each word's end."""
+        plain = [w for w in words if w.isalpha() and w.islower() and is_normalized("NFC", w)]
+        for start in range(0, len(plain), TOGETHER):
+            part = plain[start : start + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) == len(part) + 1:
+                data = ids.tobytes()
+                self.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        rest = [w for w in words if w not in self]
+        self.update(zip(rest, self._ids(rest), strict=True))
 
     def _split(self, text: str) -> list[str]:
         return (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        split = [self._split(text) for text in texts]
-        words = set().union(*split)
-        if len(self) + len(words) > MEMO:
+        if len(self) > MEMO:
             self.clear()
-        new = words - self.keys()
+        self[""] = b""
+        split = [self._split(text) for text in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(compress(words, map(is_none, map(self.get, words))))
         # After a letter or digit a comma or stop is a token of its own.
-        stems = {w: w[:-1] for w in new if w[-1:] in (",", ".") and w[-2:-1].isalnum()}
-        ends = {w[-1] for w in stems}
-        learned = list((new - stems.keys() | set(stems.values()) | ends) - self.keys())
-        self.update(zip(learned, self._ids(learned), strict=True))
+        stems = {w: w[:-1] for w in new if w[-1] in ",." and _settled(w[-2:-1])}
+        learned = list((new - stems.keys() | {*stems.values(), ",", "."}) - self.keys())
+        self._learn(learned)
         self.update((w, self[stem] + self[w[-1]]) for w, stem in stems.items())
-        for found in split:
-            yield np.frombuffer(b"".join(map(self.__getitem__, found)), dtype="<u4")
+        for words in split:
+            yield np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
         for word in (*new, *learned):
             if len(word) > 64:
                 self.pop(word, None)
