@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -58,7 +59,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else HEADLINE
-    spark = local_session(cores=cpus, partitions=int(cpus) if cpus.isdigit() else 8)
+    shared = tempfile.mkdtemp(prefix="merchantlens-bench-")
+    partitions = int(cpus) if cpus.isdigit() else 8
+    spark = local_session(cores=cpus, partitions=partitions, spark__checkpoint__dir=shared)
     queries = registry.queries()
 
     def run(name: str) -> float:

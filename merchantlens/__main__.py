@@ -7,7 +7,8 @@
     dashboard  WAREHOUSE --start DAY --end DAY [--category C] [--merchant M] --out DIR
     ask        WAREHOUSE --start DAY --end DAY QUESTION...
 
-Tables go to CSV folders under --out, or to the screen without it.
+Every job takes --out DIR: tables then go to CSV folders under it.  Without it they are
+printed whole, and a table longer than a screen (200 rows) stops the job.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from merchantlens.plans import dashboard, explore, forecasting, load
 from merchantlens.sources import readers, writers
 from merchantlens.sources.local import constant_table
 
+SCREEN = 200
 QUESTION = T.StructType([T.StructField("text", T.StringType())])
 
 
@@ -30,12 +32,11 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="merchantlens")
     jobs = parser.add_subparsers(dest="job", required=True)
 
-    def job(name: str, *positional: str, out: bool = False, selection: bool = False):
+    def job(name: str, *positional: str, selection: bool = False):
         sub = jobs.add_parser(name)
         for argument in positional:
             sub.add_argument(argument)
-        if out:
-            sub.add_argument("--out")
+        sub.add_argument("--out")
         if selection:
             sub.add_argument("--start", required=True)
             sub.add_argument("--end", required=True)
@@ -45,14 +46,14 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
         return sub
 
     job("load", "merchants", "transactions", "warehouse")
-    job("check", "warehouse", out=True)
-    job("explore", "warehouse", out=True)
+    job("check", "warehouse")
+    job("explore", "warehouse")
     forecast = job("forecast", "warehouse")
     forecast.add_argument("--level", default="Platform")
     forecast.add_argument("--horizon", type=int, default=rules.HORIZON)
     forecast.add_argument("--trees", type=int, default=100)
     forecast.add_argument("--baseline", action="store_true")
-    job("dashboard", "warehouse", out=True, selection=True)
+    job("dashboard", "warehouse", selection=True)
     job("ask", "warehouse", selection=True).add_argument("questions", nargs="+")
     return parser.parse_args(argv)
 
@@ -62,14 +63,17 @@ def deliver(tables: dict[str, DataFrame], out: str | None) -> None:
         if out:
             writers.write_csv(df, f"{out.rstrip('/')}/{name}")
         else:
+            rows = df.limit(SCREEN + 1).count()
+            if rows > SCREEN:
+                raise SystemExit(f"{name} has more than {SCREEN} rows: name a folder with --out")
             print(name)
-            df.show(20, truncate=False)
+            df.show(SCREEN, truncate=False)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "load":
         counts = load.load(spark, args.merchants, args.transactions, args.warehouse)
-        deliver({"row_counts": counts}, None)
+        deliver({"row_counts": counts}, args.out)
         return
     house = load.Warehouse(args.warehouse)
     if args.job == "check":
@@ -84,7 +88,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             use_trees=not args.baseline,
             trees=args.trees,
         )
-        deliver({"forecasts": stored.orderBy("series_key", "target_date")}, None)
+        deliver({"forecasts": stored.orderBy("series_key", "target_date")}, args.out)
         return
     names = ("daily_aggregates", "transactions", "merchants")
     daily, txns, merchants = (house.table(spark, name) for name in names)
@@ -95,7 +99,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "ask":
         asked = constant_table(spark, [(q,) for q in args.questions], QUESTION)
         answered = dashboard.ask(asked, daily, txns, merchants, chosen, args.horizon)
-        deliver({"answers": answered}, None)
+        deliver({"answers": answered}, args.out)
         return
     forecasts = readers.if_present(lambda: house.table(spark, "forecasts"))
     importance = readers.if_present(

@@ -17,8 +17,7 @@ def cents(df: DataFrame, name: str) -> Column:
 
     Integer sums do not depend on row order and cost a fraction of DECIMAL ones.
     Transactions carry DECIMAL with two places; stored daily rows carry DOUBLE,
-    whose cents are recovered by rounding.  Under ANSI mode, the default, a sum
-    beyond 92 quadrillion stops the job rather than wrapping round.
+    whose cents are recovered by rounding.
     """
     value = F.col(name)
     if isinstance(df.schema[name].dataType, T.DecimalType):
@@ -26,14 +25,25 @@ def cents(df: DataFrame, name: str) -> Column:
     return F.rint(value * F.lit(100.0)).cast("bigint")
 
 
-def from_cents(value: Column) -> Column:
-    """Whole cents as DECIMAL money."""
-    return (value.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")
-
-
 def exact_sum(df: DataFrame, name: str) -> Column:
-    """Sum of a money column, added up in cents."""
-    return from_cents(F.sum(cents(df, name)))
+    """Sum of a money column as DECIMAL(30, 2).
+
+    Cents are added up in three BIGINT sums of six digits each (the first holds
+    the rest), so none overflows below nine trillion rows, ANSI mode or not.
+    DECIMALs that do not fit a BIGINT, sums themselves, are added as they are.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType) and kind.precision > 18:
+        return F.sum(name).cast("decimal(30,2)")
+    value, million = cents(df, name), F.lit(1_000_000)
+    high = F.call_function("div", value, F.lit(1_000_000_000_000))
+    middle = F.call_function("div", value, million) % million
+    parts = [F.sum(part).cast("decimal(20,0)") for part in (high, middle, value % million)]
+    scales = (Decimal("10000000000.00"), Decimal("10000.00"), Decimal("0.01"))
+    return sum(
+        ((part * F.lit(scale)).cast("decimal(36,2)") for part, scale in zip(parts[1:], scales[1:])),
+        (parts[0] * F.lit(scales[0])).cast("decimal(36,2)"),
+    ).cast("decimal(30,2)")
 
 
 def thousands(value: Column) -> Column:
@@ -42,9 +52,10 @@ def thousands(value: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.round(value, 1))
+    """``4.25`` as ``4.3``; NULL stays NULL, as in every format here."""
+    return F.when(value.isNotNull(), F.format_string("%.1f", F.round(value, 1)))
 
 
 def crores(value: Column) -> Column:
     """Amount in units of ten million, two decimals."""
-    return F.format_string("%.2f", F.round(value / F.lit(10000000.0), 2))
+    return F.when(value.isNotNull(), F.format_string("%.2f", F.round(value / F.lit(10000000.0), 2)))

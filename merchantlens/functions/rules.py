@@ -133,3 +133,4 @@ ANSWER_DEFAULT = (
     "payments totaling **₹%s Cr**. Try asking me specifically about payment methods, refunds, "
     "or future forecasts!"
 )
+ANSWER_NO_DATA = "No data found for the selected filters."

@@ -44,9 +44,14 @@ def daily_series(
     return sums.agg(value.cast("double").alias(TARGET))
 
 
-def date_spine(series: DataFrame, period: Period | None = None) -> DataFrame:
+def date_spine(
+    series: DataFrame, period: Period | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """K5: every series on every day, missing days filled with 0.
 
+    ``keys`` (series_key) names the series; without it they are those with a
+    row in the period.
+
     Without a period the days run over the span of the whole data.  Each row
     stretches over the gap up to the next one, and the first also over the gap
     before it, so one window does it: no spine to join with, and windows that
@@ -66,6 +71,8 @@ def date_spine(series: DataFrame, period: Period | None = None) -> DataFrame:
     else:
         first, last = dates.day_literal(period.start), dates.day_literal(period.end)
         series = series.where(F.col("agg_date").between(first, last))
+    if keys is not None:
+        series = keys.select("series_key").distinct().join(series, "series_key", "left")
     day = F.col("agg_date")
     start = F.when(F.lag(day).over(by_series()).isNull(), first).otherwise(day)
     end = F.coalesce(F.date_sub(F.lead(day).over(by_series()), 1), last)

@@ -78,7 +78,7 @@ def answers(
     horizon: int = rules.HORIZON,
     verdict_above: float = rules.VERDICT_REFUND_RATE,
 ) -> DataFrame:
-    """The answer to each routed question."""
+    """The answer to each routed question; the same one to all when nothing was selected."""
     known = facts(headline, top)
     method = F.coalesce(known["top_method"], F.lit("None"))
     refund = numbers.one_decimal(known["refund_rate"])
@@ -97,7 +97,8 @@ def answers(
     intent = F.col("intent")
     return routed.withColumn(
         "answer",
-        F.when(intent == "payment", payment)
+        F.when(known["total_rev"].isNull(), F.lit(rules.ANSWER_NO_DATA))
+        .when(intent == "payment", payment)
         .when(intent == "refund", verdict)
         .when(intent == "forecast", outlook)
         .otherwise(totals),

@@ -181,7 +181,7 @@ def period_compare(
     kept = flt.date_range(frame, Period(before.start, now.end))
     current = flt.in_period(F.col("agg_date"), now)
     earlier = flt.in_period(F.col("agg_date"), before)
-    net = numbers.cents(frame, "net_revenue")
+    net = F.col("net_revenue")
     sums = {
         "total_rev": F.when(current, net),
         "prev_rev": F.when(earlier, net),
@@ -189,16 +189,21 @@ def period_compare(
         "_successful": F.when(current, F.col("successful_transactions")),
         "_refunded": F.when(current, F.col("refunded_transactions")),
     }
-    summed = [F.sum(name).alias(name) for name in sums]
+    money = ("total_rev", "prev_rev")
+
+    def summed(rows: DataFrame) -> list[Column]:
+        return [
+            (numbers.exact_sum(rows, name) if name in money else F.sum(name)).alias(name) for name in sums
+        ]
+
     joined = join_merchants(
         kept.select("merchant_id", *[value.alias(name) for name, value in sums.items()]),
         chosen.chosen(merchants).select("merchant_id"),
-        lambda rows: rows.groupBy("merchant_id").agg(*summed),
+        lambda rows: rows.groupBy("merchant_id").agg(*summed(rows)),
     )
-    totals = joined.agg(*summed)
+    totals = joined.agg(*summed(joined))
 
-    revenue = numbers.from_cents(F.col("total_rev")).cast("double")
-    previous = numbers.from_cents(F.col("prev_rev")).cast("double")
+    revenue, previous = (F.col(name).cast("double") for name in money)
     no_base = F.col("prev_rev").isNull() | (F.col("prev_rev") == 0)
     trend = F.when(no_base, F.lit(0.0)).otherwise(
         F.try_divide(revenue - previous, previous) * F.lit(100.0)

@@ -158,14 +158,16 @@ def run(
     horizon: int = rules.HORIZON,
     level: str = PLATFORM,
     cut_every: int = 5,
+    least_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """Trees where the history allows, the baseline elsewhere or without a model."""
+    """Trees for series of ``least_rows`` rows or more, the baseline elsewhere or without
+    a model; ``model_name`` says which."""
     if model is None:
         return forecast.baseline(series, horizon, level)
     length = F.count(F.lit(1)).over(Window.partitionBy("series_key"))
     sized = series.withColumn("_rows", length)
-    enough = sized.where(F.col("_rows") >= MIN_ROWS).drop("_rows")
-    short = sized.where(F.col("_rows") < MIN_ROWS).drop("_rows")
+    enough = sized.where(F.col("_rows") >= least_rows).drop("_rows")
+    short = sized.where(F.col("_rows") < least_rows).drop("_rows")
     return recursive(enough, model, horizon, level, cut_every).unionByName(
         forecast.baseline(short, horizon, level)
     )

@@ -492,6 +492,24 @@ SELECT conv_id, turn, intent, CASE intent
   ELSE {answer(rules.ANSWER_DEFAULT, "format('{:,}', total_txns)",
                "printf('%.2f', round(total_rev / 1e7, 2))")} END AS answer
 FROM routed, kpi, top"""
+    sql["question_answers_empty"] = f"""WITH {ROUTED}
+SELECT conv_id, turn, intent, 'No data found for the selected filters.' AS answer FROM routed"""
+    one = "merchant_name = 'Customer#000000040'"
+    sql["headline_merchant"] = f"""WITH {JOINED}
+SELECT CAST(sum(net) AS DOUBLE) AS total_rev, CAST(sum(total) AS BIGINT) AS total_txns,
+       {pct('sum(succ)', 'sum(total)')} AS success_rate,
+       {pct('sum(ref)', 'sum(total)')} AS refund_rate, sum(net) IS NOT NULL AS has_data
+FROM joined WHERE {IN_PERIOD} AND {one}"""
+    sql["revenue_series_merchant"] = f"""WITH {JOINED}
+SELECT {day_text('agg_date')} AS agg_date, CAST(sum(net) AS DOUBLE) AS net_rev
+FROM joined WHERE {IN_PERIOD} AND {one} GROUP BY agg_date"""
+    sql["date_spine_merchant"] = f"""WITH {DAILY}, {MERCHANTS}, days AS (
+  SELECT CAST(unnest(generate_series(TIMESTAMP '2000-10-01', TIMESTAMP '2000-12-31',
+                                     INTERVAL 1 DAY)) AS DATE) AS agg_date)
+SELECT CAST(m.merchant_id AS VARCHAR) AS series_key, {day_text('days.agg_date')} AS agg_date,
+       coalesce(CAST(net AS DOUBLE), CAST(0 AS DOUBLE)) AS net_revenue
+FROM merchants m CROSS JOIN days
+LEFT JOIN daily ON daily.merchant_id = m.merchant_id AND daily.agg_date = days.agg_date"""
     metrics = ("net_revenue", "failure_rate", "refund_rate")
     sql["revenue_anomalies"] = f"""WITH {JOINED}, series AS (
   SELECT business_category AS series_key, agg_date, CAST(sum(net) AS DOUBLE) AS net_revenue,

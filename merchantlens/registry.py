@@ -31,6 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PERIOD = Period.of("2000-10-01", "2000-12-31")
 LAST_QUARTER = Period.of("2001-05-01", "2001-08-01")
 CATEGORY = "BUILDING"
+MERCHANT_NAME = "Customer#000000040"
+NO_ROWS = Period.of("2030-01-01", "2030-01-31")
 EVENTS = (
     rules.Event(date(1997, 5, 12), "Gateway outage", volume_mult=0.2),
     rules.Event(date(1999, 7, 15), "Viral event", volume_mult=3.0),
@@ -41,7 +43,6 @@ INTENTS = (("payment", ("ouè", "méthode")), ("refund", ("ment",)), ("forecast"
 TOTAL_BANDS = (("Enterprise", 15.0), ("Mid-Market", 10.0))
 GROWTH = 1.10
 BASE_VOLUME = 10
-TREES = 8
 
 _QUERIES: dict[str, Query] = {}
 
@@ -360,6 +361,14 @@ def date_spine(spark, sf_dir):
     return features.date_spine(_category_series(spark, sf_dir))
 
 
+@query
+def date_spine_merchant(spark, sf_dir):
+    """K5 for every merchant, active in the period or not"""
+    series = features.daily_series(_frame(spark, sf_dir), features.MERCHANT)
+    keys = star.merchants(spark, sf_dir).select(F.col("merchant_id").cast("string").alias("series_key"))
+    return features.date_spine(series, PERIOD, keys)
+
+
 @query
 def lag_features(spark, sf_dir):
     """E1"""
@@ -484,7 +493,7 @@ def next_day_inputs(spark, sf_dir):
 def gbt_forecast(spark, sf_dir):
     """I1, I3, I6, I7"""
     series = cut_lineage(_category_series(spark, sf_dir))
-    model = learning.train(features.build(series), trees=TREES)
+    model = learning.train(features.build(series))
     return learning.run(series, model, level=features.CATEGORY)
 
 
@@ -492,14 +501,14 @@ def gbt_forecast(spark, sf_dir):
 def gbt_importance(spark, sf_dir):
     """I5, C2"""
     series = cut_lineage(features.daily_series(_frame(spark, sf_dir)))
-    model = learning.train(features.build(series), trees=TREES)
+    model = learning.train(features.build(series))
     return forecast.label_features(learning.importance(model, spark))
 
 
 @query
 def gbt_backtest(spark, sf_dir):
     """I8, for the trees"""
-    return learning.backtest(_category_series(spark, sf_dir), trees=TREES)
+    return learning.backtest(_category_series(spark, sf_dir))
 
 
 # --- Alerts and answers ------------------------------------------------------
@@ -531,6 +540,30 @@ def question_answers(spark, sf_dir):
     return insights.answers(routed, headline, top).drop("text")
 
 
+@query
+def question_answers_empty(spark, sf_dir):
+    """J2, J4 over a period without rows"""
+    txns = star.transactions(spark, sf_dir)
+    headline = kpis.headline(kpis.measures(txns), star.merchants(spark, sf_dir), Filters(NO_ROWS))
+    top = insights.top_method(segments.payment_mix(txns, NO_ROWS))
+    routed = insights.route(star.questions(spark, sf_dir), INTENTS)
+    return insights.answers(routed, headline, top).drop("text")
+
+
+@query
+def headline_merchant(spark, sf_dir):
+    """D6, B4 by merchant name"""
+    chosen = Filters(PERIOD, merchant=MERCHANT_NAME)
+    return kpis.headline(_frame(spark, sf_dir), star.merchants(spark, sf_dir), chosen)
+
+
+@query
+def revenue_series_merchant(spark, sf_dir):
+    """D8, B4 by merchant name"""
+    chosen = Filters(PERIOD, merchant=MERCHANT_NAME)
+    return kpis.revenue_series(_frame(spark, sf_dir), star.merchants(spark, sf_dir), chosen)
+
+
 @query
 def revenue_anomalies(spark, sf_dir):
     """N1"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +32,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    What jobs write below it stays until the folder is cleaned: results are lazy
+    and may still read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="merchantlens-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -84,3 +84,14 @@ def test_spine_before_features_counts_days(spark):
     built = features.build(features.date_spine(df)).collect()
     assert len(built) == 79 - 30
     assert {r.rolling_avg_30d for r in built} == {0.5}
+
+
+def test_spine_over_named_series(spark):
+    series = series_of(spark, [5], start="2024-01-02", key="a")
+    keys = spark.createDataFrame([("a",), ("b",)], "series_key string")
+    period = Period.of("2024-01-01", "2024-01-03")
+    got = rows(features.date_spine(series, period, keys))
+    days = [day("2024-01-01"), day("2024-01-02"), day("2024-01-03")]
+    assert got == sorted(
+        [("a", d, 5.0 if d == days[1] else 0.0) for d in days] + [("b", d, 0.0) for d in days], key=str
+    )

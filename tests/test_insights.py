@@ -47,6 +47,15 @@ def test_answers_J4_S18(spark, txns, merchants):
     assert "healthy at **14.3%**" in {r.intent: r.answer for r in calm.collect()}["refund"]
 
 
+def test_answers_without_data(spark, txns, merchants):
+    never = Filters(Period.of("2030-01-01", "2030-01-31"))
+    headline = kpis.headline(kpis.measures(txns), merchants, never)
+    top = insights.top_method(segments.payment_mix(txns, never.period))
+    routed = insights.route(asked(spark, "payment?", "refund?", "future?", "hi"))
+    got = {r.answer for r in insights.answers(routed, headline, top).collect()}
+    assert got == {"No data found for the selected filters."}
+
+
 def test_refund_alerts_J1(frame):
     assert rows(insights.refund_alerts(frame, "agg_date")) == [(day("2024-10-01"), 4, 1, 25.0)]
     assert rows(insights.refund_alerts(frame, "agg_date", above=25.0)) == []

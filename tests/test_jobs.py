@@ -157,3 +157,16 @@ def test_missing_tables_are_none(spark, tmp_path):
     gone = str(tmp_path / "gone")
     assert readers.if_present(lambda: readers.read_table(spark, gone)) is None
     assert readers.if_present(lambda: readers.read_importance(spark, gone)) is None
+
+
+def test_no_answer_is_lost(spark, house, tmp_path):
+    asked = [f"question {n}" for n in range(25)]
+    days = ["--start", "2024-10-01", "--end", "2024-11-30"]
+    args = command.arguments(["ask", house[0], *days, "--out", str(tmp_path), *asked])
+    command.run(spark, args)
+    assert spark.read.csv(f"{tmp_path}/answers", header=True).count() == 25
+
+
+def test_long_tables_are_not_printed_in_part(spark):
+    with pytest.raises(SystemExit, match="--out"):
+        command.deliver({"days": spark.range(command.SCREEN + 1)}, None)

@@ -3,7 +3,6 @@ from decimal import Decimal
 
 import pytest
 from conftest import rows
-from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from merchantlens.functions import numbers
@@ -30,11 +29,25 @@ def test_sum_of_nothing_is_null(spark):
     assert rows(df.agg(numbers.exact_sum(df, "v"))) == [(None,)]
 
 
-def test_overflow_stops_the_job(spark):
-    most = Decimal("9999999999999999.99")
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("sign", [1, -1])
+def test_sums_beyond_64_bits_are_exact(spark, ansi, sign):
+    most = sign * Decimal("9999999999999999.99")
     df = spark.createDataFrame([(most,)] * 20, "v decimal(18,2)")
-    with pytest.raises(ArithmeticException):
-        df.agg(numbers.exact_sum(df, "v")).collect()
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        summed = df.agg(numbers.exact_sum(df, "v").alias("v"))
+        assert summed.first()[0] == 20 * most
+        again = summed.unionAll(summed)
+        assert again.agg(numbers.exact_sum(again, "v")).first()[0] == 40 * most
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_formats_of_nothing_are_null(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    v = F.col("v")
+    assert rows(df.select(numbers.thousands(v), numbers.crores(v), numbers.one_decimal(v))) == [(None,) * 3]
 
 
 def test_percent_of_nothing_is_null_S23(spark):

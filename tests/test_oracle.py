@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from merchantlens import oracle, registry
 
 SF = "/root/testdata/sf0.01"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.queries(), oracle.oracle_sql()
 LEARNED = {"gbt_forecast": 150, "gbt_importance": 6, "gbt_backtest": 5}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
