@@ -227,11 +227,12 @@ def _urls_sql() -> str:
         SELECT score, count(*) FILTER (ruled = 'allow') AS allow, count(*) FILTER (ruled = 'block') AS block
         FROM ruled JOIN scored USING (n) WHERE ruled IS NOT NULL AND fold = 0 GROUP BY score),
     gains AS (
-        SELECT score, round(coalesce(sum(block) OVER below, 0)::DOUBLE / sum(block) OVER ()
+        SELECT score, floor((score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2) AS half,
+            round(coalesce(sum(block) OVER below, 0)::DOUBLE / sum(block) OVER ()
             - coalesce(sum(allow) OVER below, 0)::DOUBLE / sum(allow) OVER (), 9) AS gain
         FROM bins WINDOW below AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     cut AS (
-        SELECT coalesce((SELECT score FROM gains WHERE isfinite(gain) ORDER BY gain DESC, score LIMIT 1), 0)
+        SELECT coalesce((SELECT half FROM gains WHERE isfinite(gain) ORDER BY gain DESC, score LIMIT 1), 0)
             AS cut)
     SELECT page_id, host, path, rule,
         coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict

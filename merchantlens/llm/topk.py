@@ -83,8 +83,9 @@ def search(mine: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     if largest >= 2**53:
         whole = vectors.matrix(mine["vec"], object), vectors.matrix(asked["vec"], object)
     kind = np.float64 if whole is None else object
-    least = -(2**63)  # no 64-bit score is below
-    kth = asked["bound"].fillna(least).to_numpy(dtype=object).astype(kind)
+    known = [-np.inf if pd.isna(b) else b for b in asked["bound"]]
+    shared = np.array(known, dtype=kind)
+    kth = shared.copy()
     scores = np.full((len(q), k), -np.inf, dtype=kind)
     found = np.full((len(q), k), -1, dtype=np.int64)
 
@@ -93,7 +94,9 @@ def search(mine: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     visits = np.argsort(-bound, axis=1, kind="stable")
     for place in range(len(tree.leaves)):
         leaf_of = visits[:, place]
-        open_ = np.flatnonzero(bound[np.arange(len(q)), leaf_of] >= kth.astype(np.float64) * (1 - 1e-12) - 1e-9)
+        least = kth.astype(np.float64)
+        least -= 1e-12 * np.abs(least) + 1e-9
+        open_ = np.flatnonzero(bound[np.arange(len(q)), leaf_of] >= least)
         if not len(open_):
             break
         for leaf in np.unique(leaf_of[open_]):
@@ -112,7 +115,7 @@ def search(mine: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
             scores[at] = np.take_along_axis(all_scores, first, axis=1)
             found[at] = np.take_along_axis(all_ids, first, axis=1)
             kth[at] = np.maximum(kth[at], scores[at, k - 1])
-    keep = (scores > -np.inf) & (scores >= asked["bound"].fillna(least).to_numpy(dtype=object).astype(kind)[:, None])
+    keep = (scores > -np.inf) & (scores >= shared[:, None])
     row, col = np.nonzero(keep.astype(bool))
     values = [max(-_LARGEST - 1, min(_LARGEST, int(s))) for s in scores[row, col]]
     return pd.DataFrame(

@@ -147,17 +147,26 @@ def score(codes: Column, ratios: list[float]) -> Column:
 
 
 def calibrate(scored: DataFrame) -> int:
-    """The cut with the best mean share of right verdicts, ties to the smallest."""
+    """The cut with the best mean share of right verdicts, ties to the smallest.
+
+    It lies halfway between two scores that occur.
+    """
     allow = (F.col("verdict") == "allow").cast("int")
     bins = scored.groupBy("score").agg(F.sum(allow).alias("allow"), F.sum(1 - allow).alias("block"))
     below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # at most 2,001 rows
     every = Window.partitionBy()
-    gain = F.coalesce(F.sum("block").over(below), F.lit(0)) / F.sum("block").over(every) - F.coalesce(
-        F.sum("allow").over(below), F.lit(0)
-    ) / F.sum("allow").over(every)
-    found = bins.select("score", F.round(gain, 9).alias("gain")).where("gain IS NOT NULL")
-    best = found.orderBy(F.desc("gain"), "score").limit(1).collect()
-    return best[0].score if best else 0
+
+    def share(kind: str) -> Column:
+        return F.try_divide(F.coalesce(F.sum(kind).over(below), F.lit(0)), F.sum(kind).over(every))
+
+    before = F.coalesce(F.lag("score").over(Window.orderBy("score")), "score")
+    found = bins.select(
+        "score",
+        F.floor((F.col("score") + before) / 2).cast("int").alias("cut"),
+        F.round(share("block") - share("allow"), 9).alias("gain"),
+    )
+    best = found.where("gain IS NOT NULL").orderBy(F.desc("gain"), "score").limit(1).collect()
+    return best[0].cut if best else 0
 
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:

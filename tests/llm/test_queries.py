@@ -1,0 +1,102 @@
+"""The registered corpus queries against DuckDB, URL rules, and the pipeline."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from merchantlens.llm import queries, urls
+
+SF = "/root/testdata/sf0.01"
+SQL = queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    expected = con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(expected, key=str)
+
+
+def judged(spark, found):
+    pages = spark.createDataFrame(found, "page_id long, url string").withColumn("rule", F.lit("mine"))
+    return {r.row.page_id: r for r in urls.judge(pages).collect()}
+
+
+def test_rules(spark):
+    got = judged(
+        spark,
+        [
+            (1, "http://A.COM/x"),
+            (2, "http://acom/x"),
+            (3, "https://example.com/en/1?q#f"),
+            (4, "https://www.example.com/en/1"),
+            (5, "https://m.example.com/en/1"),
+            (6, "x://b.net/es/"),
+            (7, "x://b.net/ES/"),
+            (8, "http://a.com"),
+            (9, None),
+            (10, "no scheme"),
+            (11, "http://" + "a" * 50_000 + ".org/" + "é" * 50_000),
+            (None, "http://x.com/"),
+        ],
+    )
+    rules = {n: r.rule for n, r in got.items()}
+    assert rules == {
+        1: "com/", 2: None, 3: "example.com/en/", 4: "www.example.com/en/", 5: "example.com/en/",
+        6: "net/es/", 7: None, 8: None, 9: None, 10: None, 11: None, None: "com/",
+    }
+    assert [got[n].verdict for n in (1, 3, 4, 5, 6)] == ["allow", "block", "allow", "block", "block"]
+    assert (got[3].host, got[3].path) == ("example.com", "/en/1")
+    assert (got[9].host, got[9].path, got[10].host) == ("", "", "")
+    assert {r.verdict for r in got.values()} <= {"allow", "block"}
+
+
+def test_model_learns_paths(spark):
+    rows = [(n, f"http://h{n}.com/good/{n}") for n in range(60)]
+    rows += [(n, f"http://h{n}.net/es/evil{n}") for n in range(60, 120)]
+    rows += [(200, "http://x.org/good/7"), (201, "http://x.org/es/evil9")]
+    got = judged(spark, rows)
+    assert (got[200].verdict, got[201].verdict) == ("allow", "block")
+
+
+def test_no_pages(spark):
+    assert judged(spark, [(1, None)])[1].verdict in ("allow", "block")
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(empty).count() == 0
+
+
+def test_pipeline_keeps_the_columns(spark, documents, tmp_path):
+    words = [f"word{n}" for n in range(300)]
+    rows = [(n, "shared line\n" + " ".join(words[n : n + 60]) + ".") for n in range(40)]
+    rows += [(n + 100, text) for n, text in rows[:5]] + [(90, None), (91, ""), (None, "a text without key")]
+    docs = documents(rows, score="'mine'", keep="1")
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names, name
+        out.write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert set(range(100, 105)).isdisjoint(kept)
+    assert None in kept and 90 not in kept  # a null text has no language
+    assert all("shared line" not in r.text and r.n_chars == len(r.text) for n, r in kept.items() if n in range(40))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in pieces.collect()} == set(kept)
+
+
+def test_pipeline_runs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, SF)
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"))
+    assert whole.where("n <> all").isEmpty()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").join(docs, "doc_id")
+    junk = labels.where("quality = 0").join(whole, "doc_id").count()
+    assert junk <= 0.05 * labels.where("quality = 0").count()
