@@ -53,7 +53,8 @@ def learn(sample: np.ndarray, k: int, bits: int = BITS, aim: float = AIM, rounds
     """Codes of ``bits`` bits (no more than components) and their radius."""
     bits = min(bits, sample.shape[1])
     centre = sample.mean(axis=0)
-    axes = np.linalg.svd(sample - centre, full_matrices=True)[2].T[:, :bits]
+    spread = (sample - centre).T @ (sample - centre)  # a square of the vectors' length
+    axes = np.linalg.eigh(spread)[1][:, ::-1][:, :bits]
     turned = (sample - centre) @ axes
     rng = np.random.default_rng(0)
     rotation = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
