@@ -109,10 +109,9 @@ def postings(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def dropped_keys(found: DataFrame, frequent: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(d1, d2, drop): the frequent keys of each document that has any."""
-    least = found.agg((F.count(F.lit(1)) / heavy).alias("least"))
-    ranked = frequent.crossJoin(F.broadcast(least))  # one row
-    hot = F.broadcast(ranked.where("n_docs > least").select(*HASH))
-    rest = ranked.where("n_docs <= least").select(*HASH)
+    least = found.agg((F.count(F.lit(1)) / heavy).alias("least")).scalar()
+    hot = F.broadcast(frequent.where(F.col("n_docs") > least).select(*HASH))
+    rest = frequent.where(F.col("n_docs") <= least).select(*HASH)
     both = found.join(hot, HASH, "left_semi").unionAll(
         found.join(hot, HASH, "left_anti").join(rest, HASH, "left_semi")
     )
