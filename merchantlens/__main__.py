@@ -103,7 +103,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     forecasts = readers.if_present(lambda: house.table(spark, "forecasts"))
     importance = readers.if_present(
-        lambda: readers.read_importance(spark, house.path("feature_importance"))
+        lambda: readers.read_importance(spark, house.importance_path())
     )
     deliver(
         dashboard.dashboard(

@@ -428,6 +428,12 @@ FROM errors GROUP BY series_key"""
 SELECT count(*) AS row_count, count(predicted_revenue) AS predicted, count(*) AS distinct_ids,
        {day_text('min(target_date)')} AS first_day, {day_text('max(target_date)')} AS last_day
 FROM predicted"""
+    place = "row_number() OVER (PARTITION BY series_key ORDER BY target_date) AS place"
+    sql["stored_forecast_levels"] = " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {series}, {baseline(30)}
+SELECT {forecast_rows(level)}, {place} FROM predicted)"""
+        for series, level in ((CATEGORY_SERIES, "Category"), (PLATFORM_SERIES, "Platform"))
+    )
     labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.FEATURE_LABELS.items())
     names = (
         "day_of_week day_of_month month is_weekend revenue_lag_1 revenue_lag_7 revenue_lag_14 "

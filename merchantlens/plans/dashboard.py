@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from merchantlens.functions import rules
+from merchantlens.functions.dates import Period
 from merchantlens.operators import filters as flt, forecast, insights, kpis, segments
 from merchantlens.operators.filters import Filters
+from merchantlens.session import cut_lineage
 
 
 def options(merchants: DataFrame, category: str | None = None) -> dict[str, DataFrame]:
@@ -19,6 +21,15 @@ def options(merchants: DataFrame, category: str | None = None) -> dict[str, Data
     return {"categories": flt.categories(merchants), "merchants": names}
 
 
+def selection(daily: DataFrame, merchants: DataFrame, chosen: Filters) -> DataFrame:
+    """The merchant-days of a selection and of the period before, read once and written."""
+    kept = flt.date_range(daily, Period(chosen.period.previous().start, chosen.period.end))
+    if chosen.category is not None or chosen.merchant is not None:
+        ids = chosen.chosen(merchants).select("merchant_id")
+        kept = kept.join(ids, "merchant_id", "left_semi")
+    return cut_lineage(kept)
+
+
 def dashboard(
     daily: DataFrame,
     txns: DataFrame,
@@ -28,8 +39,13 @@ def dashboard(
     importance: DataFrame | None = None,
     horizon: int = rules.HORIZON,
 ) -> dict[str, DataFrame]:
-    """Lazy tables by name; forecasts are shown for the unfiltered platform only."""
-    compared = kpis.period_compare(daily, merchants, chosen)
+    """Tables by name; forecasts are shown for the unfiltered platform only.
+
+    The selection and the comparison, which several tables need, are computed at once and
+    stored; the tables themselves are lazy.
+    """
+    daily = selection(daily, merchants, chosen)
+    compared = cut_lineage(kpis.period_compare(daily, merchants, chosen))
     series = kpis.revenue_series(daily, merchants, chosen)
     tables = {
         "report": kpis.report_rows(daily, merchants, chosen),

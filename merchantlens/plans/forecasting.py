@@ -8,7 +8,7 @@ from merchantlens.functions import rules
 from merchantlens.operators import features, learning
 from merchantlens.plans.load import Warehouse
 from merchantlens.session import cut_lineage
-from merchantlens.sources import readers, writers
+from merchantlens.sources import writers
 
 
 def forecast(
@@ -19,7 +19,7 @@ def forecast(
     use_trees: bool = True,
     **training,
 ) -> DataFrame:
-    """Replace the forecast table, and the importances if trees were trained.
+    """Replace the forecasts of a level, and its importances if trees were trained.
 
     The series is written once and then read by training and prediction both.
     ``use_trees=False`` asks for the baseline (I7).
@@ -32,10 +32,9 @@ def forecast(
     model = None
     if use_trees and not frame.isEmpty():
         model = learning.train(frame, **training)
-        writers.write_importance(
-            learning.importance(model, spark), house.path("feature_importance")
-        )
+        writers.write_importance(learning.importance(model, spark), house.importance_path(level))
     writers.write_forecasts(
-        learning.run(series, model, horizon, level), house.path("forecasts")
+        learning.run(series, model, horizon, level), house.path("forecasts"), level
     )
-    return readers.read_table(spark, house.path("forecasts"))
+    stored = house.table(spark, "forecasts")
+    return stored.where(stored.forecast_level == level)

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from merchantlens import schemas
 from merchantlens.operators import kpis, quality
+from merchantlens.operators.features import PLATFORM
 from merchantlens.sources import readers, writers
 
 
@@ -20,7 +22,11 @@ class Warehouse:
         return f"{self.root.rstrip('/')}/{table}"
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return readers.read_table(spark, self.path(name))
+        return readers.read_table(spark, self.path(name), schemas.TABLES[name])
+
+    def importance_path(self, level: str = PLATFORM) -> str:
+        """Where the importances of the model of a level lie."""
+        return self.path("feature_importance" + ("" if level == PLATFORM else f"_{level.lower()}"))
 
 
 def load(spark: SparkSession, merchants_csv: str, transactions_csv: str, root: str) -> DataFrame:

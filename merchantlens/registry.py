@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from merchantlens import schemas
 from merchantlens.functions import dates, rules
@@ -439,7 +439,7 @@ def stored_forecasts(spark, sf_dir):
     path = scratch_path(spark, "forecasts")
     series = features.daily_series(_frame(spark, sf_dir), features.MERCHANT)
     writers.write_forecasts(
-        forecast.baseline(series, horizon=7, level=features.MERCHANT), path
+        forecast.baseline(series, horizon=7, level=features.MERCHANT), path, features.MERCHANT
     )
     stored = readers.read_table(spark, path)
     ids = stored.agg(
@@ -452,6 +452,21 @@ def stored_forecasts(spark, sf_dir):
     return ids
 
 
+@query
+def stored_forecast_levels(spark, sf_dir):
+    """Two levels stored one after the other, with the place of each row by its id"""
+    path = scratch_path(spark, "forecasts")
+    by_level = {
+        features.CATEGORY: _category_series(spark, sf_dir),
+        features.PLATFORM: features.daily_series(_frame(spark, sf_dir)),
+    }
+    for level, series in by_level.items():
+        writers.write_forecasts(forecast.baseline(series, level=level), path, level)
+    stored = readers.read_table(spark, path, schemas.FORECASTS)
+    place = F.row_number().over(Window.partitionBy("series_key").orderBy("forecast_id"))
+    return _rounded_forecast(stored.withColumn("place", place).drop("forecast_id"))
+
+
 def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feature's correlation with revenue, as its importance."""
     frame = features.build(features.date_spine(_category_series(spark, sf_dir)))

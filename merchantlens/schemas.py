@@ -60,3 +60,11 @@ FEATURE_IMPORTANCE = _struct(
     ("feature", T.StringType()),
     ("importance", T.DoubleType()),
 )
+
+#: Stored tables by name, with the columns that their folders hold.
+TABLES = {
+    "merchants": MERCHANTS,
+    "transactions": T.StructType([*TRANSACTIONS, T.StructField("txn_month", T.DateType())]),
+    "daily_aggregates": T.StructType([*DAILY_AGGREGATES, T.StructField("agg_month", T.DateType())]),
+    "forecasts": FORECASTS,
+}

@@ -39,9 +39,14 @@ def read_importance(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.FEATURE_IMPORTANCE)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; its month folders come back as a DATE column."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet table; its month folders come back as a DATE column.
+
+    With a declared schema nothing is inferred, neither from files nor from folder names.
+    """
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path).select(schema.names)
 
 
 def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:

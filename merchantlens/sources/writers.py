@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from merchantlens import schemas
 from merchantlens.functions import dates
+from merchantlens.operators.features import CATEGORY, MERCHANT, PLATFORM
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -61,20 +62,23 @@ def write_importance(importance: DataFrame, path: str) -> None:
 
 
 def with_forecast_id(forecasts: DataFrame) -> DataFrame:
-    """A serial id rising with (level, series, date); unique, gaps allowed.
+    """A serial id rising with (series, date) in a level; unique, gaps allowed.
 
     Rows are range-sorted and numbered inside their partitions: a global
-    ``row_number`` would draw every merchant's forecast through one task.
+    ``row_number`` would draw every merchant's forecast through one task.  Each level
+    counts from a start of its own, so that levels stored one by one share no id.
     """
     key = ("forecast_level", "series_key", "target_date")
+    levels = F.array(*[F.lit(level) for level in (PLATFORM, CATEGORY, MERCHANT)])
+    first = (F.array_position(levels, F.col("forecast_level")) - 1) * F.lit(1 << 61)
     return (
         forecasts.repartitionByRange(*key)
         .sortWithinPartitions(*key)
-        .withColumn("forecast_id", F.monotonically_increasing_id() + F.lit(1))
+        .withColumn("forecast_id", first + F.monotonically_increasing_id() + F.lit(1))
         .select(*[field.name for field in schemas.FORECASTS])
     )
 
 
-def write_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Replace the forecast table."""
-    replace_table(with_forecast_id(forecasts), path)
+def write_forecasts(forecasts: DataFrame, path: str, level: str = PLATFORM) -> None:
+    """Replace the forecasts of ``level``, which all rows must have; other levels stay."""
+    replace_table(with_forecast_id(forecasts), f"{path}/forecast_level={level}")

@@ -1,19 +1,21 @@
 """The jobs from CSV files to answers."""
 
 import datetime as dt
+import shutil
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from merchantlens import __main__ as command
+from merchantlens import __main__ as command, schemas
 from merchantlens.functions.dates import Period
-from merchantlens.operators import enrich
+from merchantlens.operators import enrich, kpis
 from merchantlens.operators.filters import Filters
 from merchantlens.plans import dashboard, explore, forecasting, load
 from merchantlens.sources import readers, writers
 
 DAYS = 70
+PERIOD = Period.of("2024-11-01", "2024-12-09")
 
 
 @pytest.fixture(scope="module")
@@ -90,8 +92,6 @@ def test_forecast_job(spark, house, forecasts):
 
 
 def test_forecast_job_by_category_without_trees(spark, house, tmp_path):
-    import shutil
-
     copy = str(tmp_path / "copy")
     shutil.copytree(house[0], copy)
     got = forecasting.forecast(spark, copy, level="Category", horizon=3, use_trees=False)
@@ -101,6 +101,37 @@ def test_forecast_job_by_category_without_trees(spark, house, tmp_path):
     ]
 
 
+def test_levels_are_kept_apart(spark, house, forecasts, tmp_path):
+    copy = str(tmp_path / "copy")
+    shutil.copytree(house[0], copy)
+    forecasting.forecast(spark, copy, level="Category", horizon=3, trees=2, depth=2)
+    stored = load.Warehouse(copy).table(spark, "forecasts")
+    assert rows(stored.groupBy("forecast_level").count()) == [("Category", 6), ("Platform", 7)]
+    assert stored.select("forecast_id").distinct().count() == 13
+    paths = [load.Warehouse(copy).importance_path(level) for level in ("Platform", "Category")]
+    assert [readers.read_importance(spark, path).count() for path in paths] == [10, 10]
+
+
+def test_stored_tables_have_declared_schemas(spark, house):
+    tables = load.Warehouse(house[0])
+    for name in ("merchants", "transactions", "daily_aggregates"):
+        declared = schemas.TABLES[name].simpleString()
+        assert tables.table(spark, name).schema.simpleString() == declared
+        assert readers.read_table(spark, tables.path(name)).schema.simpleString() == declared
+
+
+def test_dashboard_reads_its_selection_once(spark, house):
+    tables = load.Warehouse(house[0])
+    names = ("daily_aggregates", "transactions", "merchants")
+    for chosen in (Filters(PERIOD), Filters(PERIOD, "SaaS"), Filters(PERIOD, None, "Merchant_2")):
+        out = dashboard.dashboard(*[tables.table(spark, name) for name in names], chosen)
+        for name in ("report", "comparison", "cards", "revenue", "segments"):
+            assert "daily_aggregates" not in plan(out[name])
+        kept = kpis.period_compare(tables.table(spark, names[0]), tables.table(spark, names[2]), chosen)
+        assert rows(out["comparison"]) == rows(kept)
+        assert "daily_aggregates" in plan(kept)
+
+
 def test_dashboard_tables(spark, house, forecasts):
     tables = load.Warehouse(house[0])
     daily, txns = tables.table(spark, "daily_aggregates"), tables.table(spark, "transactions")
