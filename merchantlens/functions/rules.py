@@ -25,8 +25,6 @@ FEE_RATES: dict[str, Decimal] = {
 OTHER_FEE_RATE = Decimal("0.018")
 
 # --- Fixed values: seasonal multipliers --------------------------------------
-SEASON_ORIGIN = date(2023, 1, 1)
-DAYS_PER_YEAR = 365.0
 WEEKDAY_HEAVY_CATEGORIES = ("SaaS", "Education", "Financial Services")
 WEEKDAY_HEAVY = (1.2, 0.5)  # Monday-Friday, weekend
 WEEKEND_HEAVY = (0.9, 1.3)  # Monday-Friday, weekend

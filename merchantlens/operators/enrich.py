@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from merchantlens.functions import dates, numbers, rules
+from merchantlens.functions import numbers, rules
 from merchantlens.schemas import MONEY
 from merchantlens.sources.local import constant_table
 
@@ -66,19 +65,15 @@ def _two_way(condition: Column, values: tuple[float, float]) -> Column:
 
 
 def seasonal_index(
-    df: DataFrame,
-    base_volume: Column,
-    growth_rate: Column,
-    day: str = "agg_date",
-    category: str = "business_category",
-    event_mult: Column | None = None,
-    origin: date = rules.SEASON_ORIGIN,
+    days: DataFrame, day: str = "agg_date", category: str = "business_category"
 ) -> DataFrame:
-    """K3: the multipliers of a category-day and the volume they imply."""
+    """K3: the seasonal multipliers of a category-day next to what was observed.
+
+    ``days`` has one row per category and day with ``total_transactions``.  The
+    observed index is its share of the category's mean day.
+    """
     when = F.col(day)
     workday = ~F.weekday(when).isin(5, 6)
-    days = F.datediff(when, dates.day_literal(origin))
-    growth = F.lit(1.0) + (growth_rate - F.lit(1.0)) * (days / F.lit(rules.DAYS_PER_YEAR))
     weekly = F.when(
         F.col(category).isin(*rules.WEEKDAY_HEAVY_CATEGORIES),
         _two_way(workday, rules.WEEKDAY_HEAVY),
@@ -91,23 +86,16 @@ def seasonal_index(
     festive = F.lit(1.0)
     for month, mult in rules.FESTIVE_MONTHS.items():
         festive = F.when(F.month(when) == month, F.lit(mult)).otherwise(festive)
-    product = (
-        base_volume
-        * F.col("growth_mult")
-        * F.col("weekly_mult")
-        * F.col("monthly_mult")
-        * F.col("festive_mult")
-        * (F.lit(1.0) if event_mult is None else event_mult)
-    )
-    # Rounding first keeps a product such as 11.999999999 from losing a unit.
-    volume = F.greatest(F.lit(1), F.floor(F.round(F.col("seasonal_volume"), 6)))
-    return (
-        df.withColumn("growth_mult", growth)
-        .withColumn("weekly_mult", weekly)
-        .withColumn("monthly_mult", salary)
-        .withColumn("festive_mult", festive)
-        .withColumn("seasonal_volume", product)
-        .withColumn("expected_volume", volume.cast("long"))
+    usual = F.avg("total_transactions").over(Window.partitionBy(category))
+    return days.select(
+        category,
+        day,
+        "total_transactions",
+        weekly.alias("weekly_mult"),
+        salary.alias("monthly_mult"),
+        festive.alias("festive_mult"),
+        (weekly * salary * festive).alias("expected_index"),
+        F.try_divide(F.col("total_transactions").cast("double"), usual).alias("observed_index"),
     )
 
 

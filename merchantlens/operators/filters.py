@@ -22,6 +22,11 @@ class Filters:
     category: str | None = None
     merchant: str | None = None
 
+    @property
+    def some_merchants(self) -> bool:
+        """Whether this selection may leave merchants out."""
+        return self.category is not None or self.merchant is not None
+
     def chosen(self, merchants: DataFrame) -> DataFrame:
         """The merchants of this selection; merchants go by name."""
         if self.category is not None:

@@ -17,7 +17,7 @@ from merchantlens.functions import dates, numbers, rules
 from merchantlens.functions.dates import Period
 from merchantlens.operators import filters as flt
 from merchantlens.operators.filters import Filters
-from merchantlens.session import fits_broadcast
+from merchantlens.session import cut_lineage, many_merchants
 
 AMOUNTS = ("gross_revenue", "net_revenue", "processing_fees", "refund_total")
 COUNTS = (
@@ -86,26 +86,40 @@ def daily_kpis(txns: DataFrame) -> DataFrame:
 
 
 def join_merchants(
-    rows: DataFrame, dimension: DataFrame, condense: Callable[[DataFrame], DataFrame]
+    rows: DataFrame,
+    dimension: DataFrame,
+    condense: Callable[[DataFrame], DataFrame],
+    some: bool = False,
 ) -> DataFrame:
-    """Inner join of ``rows`` with merchants, by whichever way shuffles less.
-
-    Merchants small enough to be broadcast meet the rows where they lie, and
-    only the caller's own groups are shuffled.  Otherwise ``condense`` first
-    sums the rows by merchant, so that the join gets a bounded number of rows a
-    merchant: no fact row is shuffled by merchant and none can skew the join.
+    """Inner join of ``rows`` with merchants.
+
+    Merchants that the planner broadcasts meet the rows where they lie, and only
+    the caller's own groups are shuffled.  A session with more merchants says so
+    (``session.MANY_MERCHANTS``).  ``condense`` then sums the rows by merchant
+    first, so that the join gets a bounded number of rows a merchant and a hot
+    one cannot skew it.  If ``dimension`` holds ``some`` merchants only, it is
+    written out before, so that the planner knows the size of what was chosen, and
+    restricts the rows that are summed.  Both ways give the same rows.
     """
-    if not fits_broadcast(dimension):
+    if many_merchants(rows.sparkSession):
+        if some:
+            dimension = cut_lineage(dimension)
+            rows = rows.join(dimension.select("merchant_id"), "merchant_id", "left_semi")
         rows = condense(rows)
     return rows.join(dimension, "merchant_id", "inner")
 
 
 def with_merchant(
-    frame: DataFrame, merchants: DataFrame, *attributes: str, keys: Sequence[str] = ()
+    frame: DataFrame,
+    merchants: DataFrame,
+    *attributes: str,
+    keys: Sequence[str] = (),
+    chosen: Filters | None = None,
 ) -> DataFrame:
-    """A measure frame with merchant attributes, to be summed by ``keys`` and those."""
-    dimension = merchants.select("merchant_id", *attributes)
-    return join_merchants(frame, dimension, lambda rows: rollup_to(rows, "merchant_id", *keys))
+    """A measure frame with attributes of the (chosen) merchants, to be summed by ``keys`` and those."""
+    some = chosen is not None and chosen.some_merchants
+    dimension = (chosen.chosen(merchants) if some else merchants).select("merchant_id", *attributes)
+    return join_merchants(frame, dimension, lambda rows: rollup_to(rows, "merchant_id", *keys), some)
 
 
 def filtered_daily(daily: DataFrame, merchants: DataFrame, chosen: Filters) -> DataFrame:
@@ -150,7 +164,7 @@ def segment_days(frame: DataFrame, merchants: DataFrame) -> DataFrame:
 def revenue_series(frame: DataFrame, merchants: DataFrame, chosen: Filters) -> DataFrame:
     """Net revenue by day under a selection."""
     kept = flt.date_range(frame, chosen.period)
-    joined = with_merchant(kept, chosen.chosen(merchants), keys=["agg_date"])
+    joined = with_merchant(kept, merchants, keys=["agg_date"], chosen=chosen)
     net = total(joined, "net_revenue").cast("double")
     return joined.groupBy("agg_date").agg(net.alias("net_rev"))
 
@@ -158,7 +172,7 @@ def revenue_series(frame: DataFrame, merchants: DataFrame, chosen: Filters) -> D
 def headline(frame: DataFrame, merchants: DataFrame, chosen: Filters) -> DataFrame:
     """One row of totals and rates; all NULL when nothing matches."""
     kept = flt.date_range(frame, chosen.period)
-    joined = with_merchant(kept, chosen.chosen(merchants))
+    joined = with_merchant(kept, merchants, chosen=chosen)
     sums = joined.agg(*[total(joined, c).alias(c) for c in ("net_revenue",) + COUNTS])
     return _with_rates(sums).select(
         F.col("net_revenue").cast("double").alias("total_rev"),
@@ -200,6 +214,7 @@ def period_compare(
         kept.select("merchant_id", *[value.alias(name) for name, value in sums.items()]),
         chosen.chosen(merchants).select("merchant_id"),
         lambda rows: rows.groupBy("merchant_id").agg(*summed(rows)),
+        chosen.some_merchants,
     )
     totals = joined.agg(*summed(joined))
 

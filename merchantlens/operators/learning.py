@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -17,6 +19,9 @@ from merchantlens.sources.local import constant_table
 
 MIN_ROWS = 31
 
+#: From the model inputs of a day, by name, to its revenue.
+Score = Callable[[dict[str, Column]], Column]
+
 
 def train(
     frame: DataFrame,
@@ -115,22 +120,30 @@ def next_inputs(series: DataFrame) -> DataFrame:
 
 def recursive(
     series: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | Score,
     horizon: int = rules.HORIZON,
     level: str = PLATFORM,
     cut_every: int = 5,
+    name: str = rules.GBT_NAME,
 ) -> DataFrame:
     """Predict a day, append it to the history, predict the next.
 
+    ``model`` is a trained one or a function of the model inputs.
+
     All series advance together; a step is a narrow map over one row per series
     and shuffles nothing.  The state is written out every ``cut_every`` steps,
     which bounds both the plan and what a lost executor costs, and after the
     last, so that no later filter is pushed down through the chain of steps.
     """
-    trees: GBTRegressionModel = model.stages[-1]
     values, day = F.col("h"), F.col("target_date")
-    inputs = step_inputs(values, day).values()
-    vector = array_to_vector(F.array(*[value.cast("double") for value in inputs]))
+    inputs = {key: value.cast("double") for key, value in step_inputs(values, day).items()}
+    vector = array_to_vector(F.array(*inputs.values()))
+
+    def predicted(rows: DataFrame) -> DataFrame:
+        if isinstance(model, PipelineModel):
+            return model.stages[-1].transform(rows.select("*", vector.alias("features")))
+        return rows.select("*", model(inputs).alias("prediction"))
+
     value = F.greatest(F.col("prediction"), F.lit(0.0))
     advanced = (
         F.col("series_key"),
@@ -141,7 +154,7 @@ def recursive(
     nothing = F.array().cast("array<double>")
     state = cut_lineage(start(series).withColumn("predicted", nothing))
     for step in range(1, horizon + 1):
-        state = trees.transform(state.select("*", vector.alias("features"))).select(*advanced)
+        state = predicted(state).select(*advanced)
         if step % cut_every == 0 or step == horizon:
             state = cut_lineage(state)
     days = state.select(
@@ -149,7 +162,7 @@ def recursive(
         F.col("target_date").alias("end"),
         F.posexplode("predicted").alias("pos", "predicted_revenue"),
     ).withColumn("target_date", F.date_add(F.col("end"), F.col("pos") - horizon))
-    return forecast.with_band(days, level, rules.GBT_NAME, rules.GBT_BAND)
+    return forecast.with_band(days, level, name, rules.GBT_BAND)
 
 
 def run(

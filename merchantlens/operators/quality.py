@@ -19,11 +19,11 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def orphans(txns: DataFrame, merchants: DataFrame) -> DataFrame:
     """Transactions whose merchant is unknown or missing.
 
-    These are the rows the inner join of the KPIs leaves out.  Should the
-    merchants be too many to broadcast, AQE splits the partition of a hot
-    merchant, which it may do for an anti join.
+    These are the rows the inner join of the KPIs leaves out.  The unknown ids
+    come from the counted form, in which a hot merchant is one row.
     """
-    return txns.join(merchants.select("merchant_id"), "merchant_id", "left_anti")
+    unknown = orphan_merchants(txns, merchants).select(F.col("merchant_id").alias("_unknown"))
+    return txns.join(unknown, F.col("merchant_id").eqNullSafe(F.col("_unknown")), "left_semi")
 
 
 def orphan_merchants(txns: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def top_segments(
     """
     segment = "business_category" if chosen.category is None else "merchant_name"
     kept = flt.date_range(frame, chosen.period)
-    joined = kpis.with_merchant(kept, chosen.chosen(merchants), segment)
+    joined = kpis.with_merchant(kept, merchants, segment, chosen=chosen)
     return (
         joined.groupBy(F.col(segment).alias("segment"))
         .agg(kpis.total(joined, "net_revenue").cast("double").alias("rev"))
@@ -94,6 +94,7 @@ def payment_mix(
             rows,
             chosen.chosen(merchants).select("merchant_id"),
             lambda r: r.groupBy("merchant_id", "payment_method").agg(count.alias("n")),
+            chosen.some_merchants,
         )
     mix = rows.groupBy("payment_method").agg(count.alias("txn_count"))
     total = mix.agg(F.sum("txn_count").alias("total")).scalar()

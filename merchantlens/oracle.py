@@ -71,6 +71,10 @@ CATEGORY_SERIES = f"""{JOINED}, series AS (
   SELECT business_category AS series_key, agg_date, CAST(sum(net) AS DOUBLE) AS net_revenue
   FROM joined GROUP BY ALL)"""
 
+MERCHANT_SERIES = f"""{DAILY}, series AS (
+  SELECT CAST(merchant_id AS VARCHAR) AS series_key, agg_date, CAST(net AS DOUBLE) AS net_revenue
+  FROM daily)"""
+
 PLATFORM_SERIES = f"""{DAILY}, series AS (
   SELECT 'Platform' AS series_key, agg_date, CAST(sum(net) AS DOUBLE) AS net_revenue
   FROM daily GROUP BY ALL)"""
@@ -185,6 +189,28 @@ TOP = f"""top AS (
   SELECT payment_method AS top_method, txn_count, {pct('txn_count', 'total_txns')} AS top_share
   FROM mix ORDER BY txn_count DESC, payment_method ASC NULLS LAST LIMIT 1)"""
 
+
+
+def _back(k: int) -> str:
+    return f"CASE WHEN len(h) >= {k} THEN h[-{k}] ELSE h[-1] END"
+
+
+#: Thirty days of a fixed linear score, each day's value the last of the next day's history.
+LINEAR_STEPS = f"""steps(series_key, target_date, h, n, p) AS (
+  SELECT series_key, max(agg_date), list(net_revenue ORDER BY agg_date)[-30:], 0,
+         CAST(NULL AS DOUBLE)
+  FROM series GROUP BY series_key
+  UNION ALL
+  SELECT series_key, target_date + 1, list_append(h, v)[-30:], n + 1, v FROM (
+    SELECT series_key, target_date, h, n, greatest(CAST(0 AS DOUBLE),
+             2.0::DOUBLE / 7 * ({_back(1)}) + 1.0::DOUBLE / 7 * ({_back(7)})
+             + 1.0::DOUBLE / 11 * ({_back(14)}) + 1.0::DOUBLE / 13 * ({_back(30)})
+             + 3.0::DOUBLE / 17 * list_avg(h[-7:]) + 3.0::DOUBLE / 19 * list_avg(h)
+             + 10 * (isodow(target_date + 1) - 1) - 5 * day(target_date + 1)
+             + 2 * month(target_date + 1)
+             - CASE WHEN isodow(target_date + 1) >= 6 THEN 100 ELSE 0 END) AS v
+    FROM steps WHERE n < 30))"""
+
 Z_WINDOW = (
     "PARTITION BY series_key ORDER BY agg_date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING"
 )
@@ -210,11 +236,12 @@ SELECT transaction_id, payment_method, payment_status,
 SELECT 'merchants' AS table_name, count(*) AS row_count FROM customer
 UNION ALL SELECT 'transactions', count(*) FROM orders
 UNION ALL SELECT 'daily_aggregates', count(*) FROM daily"""
-    standing = "NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal >= 0 AND c_custkey = o_custkey)"
-    sql["orphan_transactions"] = f"""SELECT o_orderkey AS transaction_id, o_custkey AS merchant_id
-FROM orders WHERE {standing}"""
-    sql["orphan_merchants"] = f"""SELECT o_custkey AS merchant_id, count(*) AS row_count
-FROM orders WHERE {standing} GROUP BY o_custkey"""
+    for prefix, known in (("orphan_{}", ""), ("{}_out_of_standing", "c_acctbal >= 0 AND ")):
+        unknown = f"NOT EXISTS (SELECT 1 FROM customer WHERE {known}c_custkey = o_custkey)"
+        sql[prefix.format("transactions")] = f"""SELECT o_orderkey AS transaction_id,
+       o_custkey AS merchant_id FROM orders WHERE {unknown}"""
+        sql[prefix.format("merchants")] = f"""SELECT o_custkey AS merchant_id, count(*) AS row_count
+FROM orders WHERE {unknown} GROUP BY o_custkey"""
     sql["duplicate_keys"] = f"""WITH {RAW}
 SELECT merchant_id, {day_text('agg_date')} AS agg_date, count(*) AS row_count
 FROM raw GROUP BY merchant_id, raw.agg_date HAVING count(*) > 1"""
@@ -236,9 +263,7 @@ FROM raw"""
         for c in columns
     )
     sql["seasonal_index"] = f"""WITH {JOINED}, days AS (
-  SELECT DISTINCT business_category, agg_date FROM joined), parts AS (
-  SELECT *, CAST(1 AS DOUBLE) + (CAST(1.1 AS DOUBLE) - CAST(1 AS DOUBLE))
-              * ((agg_date - DATE '1995-01-01') / CAST(365 AS DOUBLE)) AS growth_mult,
+  SELECT business_category, agg_date, CAST(sum(total) AS BIGINT) AS total_transactions,
          CASE WHEN business_category IN ('SaaS', 'Education', 'Financial Services')
               THEN CASE WHEN isodow(agg_date) < 6 THEN CAST(1.2 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END
               ELSE CASE WHEN isodow(agg_date) < 6 THEN CAST(0.9 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END
@@ -248,13 +273,12 @@ FROM raw"""
          CASE WHEN month(agg_date) IN (10, 11) THEN CAST(1.4 AS DOUBLE)
               WHEN month(agg_date) = 12 THEN CAST(1.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END
            AS festive_mult
-  FROM days), product AS (
-  SELECT *, 10 * growth_mult * weekly_mult * monthly_mult * festive_mult AS seasonal_volume
-  FROM parts)
-SELECT business_category, {day_text('agg_date')} AS agg_date, round(growth_mult, 6) AS growth_mult,
-       weekly_mult, monthly_mult, festive_mult, round(seasonal_volume, 6) AS seasonal_volume,
-       CAST(greatest(1, floor(round(seasonal_volume, 6))) AS BIGINT) AS expected_volume
-FROM product"""
+  FROM joined GROUP BY business_category, agg_date)
+SELECT * REPLACE ({day_text('agg_date')} AS agg_date),
+       round(weekly_mult * monthly_mult * festive_mult, 6) AS expected_index,
+       round(total_transactions / avg(total_transactions) OVER (PARTITION BY business_category), 6)
+         AS observed_index
+FROM days"""
     sql["event_effect"] = f"""WITH {TXNS}, observed AS (
   SELECT agg_date, payment_method, count(*) AS total,
          count(*) FILTER (payment_status = 'Failed') AS fail,
@@ -456,16 +480,20 @@ FROM shares ORDER BY shares.impact DESC, feature LIMIT 6"""
     def back(k: int) -> str:
         return f"coalesce(max(net) FILTER (age = {k}), max(net) FILTER (age = 1))"
 
-    sql["next_day_inputs"] = f"""WITH {DAILY}, ranked AS (
-  SELECT merchant_id, agg_date, CAST(net AS DOUBLE) AS net,
-         row_number() OVER (PARTITION BY merchant_id ORDER BY agg_date DESC) AS age
-  FROM daily), last AS (
-  SELECT CAST(merchant_id AS VARCHAR) AS series_key, max(agg_date) + 1 AS target_date,
+    for name, series in (
+        ("next_day_inputs", MERCHANT_SERIES),
+        ("next_day_inputs_category", CATEGORY_SERIES),
+    ):
+        sql[name] = f"""WITH {series}, ranked AS (
+  SELECT series_key, agg_date, net_revenue AS net,
+         row_number() OVER (PARTITION BY series_key ORDER BY agg_date DESC) AS age
+  FROM series), last AS (
+  SELECT series_key, max(agg_date) + 1 AS target_date,
          {back(1)} AS revenue_lag_1, {back(7)} AS revenue_lag_7,
          {back(14)} AS revenue_lag_14, {back(30)} AS revenue_lag_30,
          round(avg(net) FILTER (age <= 7), 6) AS rolling_avg_7d,
          round(avg(net) FILTER (age <= 30), 6) AS rolling_avg_30d
-  FROM ranked GROUP BY merchant_id)
+  FROM ranked GROUP BY series_key)
 SELECT * REPLACE ({day_text('target_date')} AS target_date),
        CAST(isodow(last.target_date) - 1 AS INTEGER) AS day_of_week,
        CAST(day(last.target_date) AS INTEGER) AS day_of_month,
@@ -473,6 +501,17 @@ SELECT * REPLACE ({day_text('target_date')} AS target_date),
        CASE WHEN isodow(last.target_date) >= 6 THEN 1 ELSE 0 END AS is_weekend
 FROM last"""
 
+    for name, series, level in (
+        ("linear_forecast", CATEGORY_SERIES, "Category"),
+        ("linear_forecast_merchant", MERCHANT_SERIES, "Merchant"),
+    ):
+        sql[name] = f"""WITH RECURSIVE {series}, {LINEAR_STEPS}
+SELECT series_key, {day_text('target_date')} AS target_date, '{level}' AS forecast_level,
+       'Linear' AS model_name, round(p, 2) AS predicted_revenue,
+       round(p * CAST(0.85 AS DOUBLE), 2) AS confidence_lower,
+       round(p * CAST(1.15 AS DOUBLE), 2) AS confidence_upper
+FROM steps WHERE n > 0"""
+
     # --- Alerts and answers
     sql["refund_alerts"] = f"""WITH {DAILY}, months AS (
   SELECT date_trunc('month', agg_date) AS month, CAST(sum(total) AS BIGINT) AS total_transactions,
@@ -532,7 +571,9 @@ FROM scored WHERE {' OR '.join(f'abs(z_{m}) > 3' for m in metrics)}"""
     sql["stored_daily"] = f"WITH {DAILY}\n{trend} WHERE {IN_PERIOD} GROUP BY daily.agg_date"
     sql["appended_transactions"] = sql["platform_trend"]
     sql["stored_transactions"] = sql["payment_mix"]
-    sql["csv_transactions"] = rates
+    sql["csv_transactions"] = f"""SELECT * REPLACE (CAST(merchant_id AS VARCHAR) AS merchant_id)
+FROM ({sql['daily_kpis']})"""
     sql["csv_merchants"] = f"""WITH {MERCHANTS}
-SELECT business_category, business_size, count(*) AS merchants FROM merchants GROUP BY ALL"""
+SELECT CAST(merchant_id AS VARCHAR) AS merchant_id, merchant_name, business_category, business_size,
+       CAST(NULL AS VARCHAR) AS onboarding_date FROM merchants"""
     return sql

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from merchantlens import schemas
 from merchantlens.functions import dates, rules
@@ -41,8 +41,20 @@ EVENTS = (
 )
 INTENTS = (("payment", ("ouè", "méthode")), ("refund", ("ment",)), ("forecast", ("the",)))
 TOTAL_BANDS = (("Enterprise", 15.0), ("Mid-Market", 10.0))
-GROWTH = 1.10
 BASE_VOLUME = 10
+# No decimal fractions: predictions must not lie exactly halfway between two cents.
+WEIGHTS = {
+    "revenue_lag_1": 2 / 7,
+    "revenue_lag_7": 1 / 7,
+    "revenue_lag_14": 1 / 11,
+    "revenue_lag_30": 1 / 13,
+    "rolling_avg_7d": 3 / 17,
+    "rolling_avg_30d": 3 / 19,
+    "day_of_week": 10.0,
+    "day_of_month": -5.0,
+    "month": 2.0,
+    "is_weekend": -100.0,
+}
 
 _QUERIES: dict[str, Query] = {}
 
@@ -123,15 +135,30 @@ def _in_good_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orphan_transactions(spark, sf_dir):
-    """C3, against the merchants in good standing"""
-    known = _in_good_standing(spark, sf_dir)
-    found = quality.orphans(star.raw_transactions(spark, sf_dir), known)
+    """C3"""
+    found = quality.orphans(star.raw_transactions(spark, sf_dir), star.merchants(spark, sf_dir))
     return found.select("transaction_id", "merchant_id")
 
 
 @query
 def orphan_merchants(spark, sf_dir):
     """C3 by merchant"""
+    return quality.orphan_merchants(
+        star.raw_transactions(spark, sf_dir), star.merchants(spark, sf_dir)
+    )
+
+
+@query
+def transactions_out_of_standing(spark, sf_dir):
+    """C3, against a selection: the merchants in good standing"""
+    known = _in_good_standing(spark, sf_dir)
+    found = quality.orphans(star.raw_transactions(spark, sf_dir), known)
+    return found.select("transaction_id", "merchant_id")
+
+
+@query
+def merchants_out_of_standing(spark, sf_dir):
+    """C3 by merchant, against the same selection"""
     known = _in_good_standing(spark, sf_dir)
     return quality.orphan_merchants(star.raw_transactions(spark, sf_dir), known)
 
@@ -159,17 +186,8 @@ def null_rates(spark, sf_dir):
 @query
 def seasonal_index(spark, sf_dir):
     """K3, for every category-day that traded"""
-    joined = kpis.with_merchant(
-        _frame(spark, sf_dir),
-        star.merchants(spark, sf_dir),
-        "business_category",
-        keys=["agg_date"],
-    )
-    days = joined.select("business_category", "agg_date").distinct()
-    index = enrich.seasonal_index(
-        days, F.lit(BASE_VOLUME), F.lit(GROWTH), origin=date(1995, 1, 1)
-    )
-    return _rounded(index, 6, "growth_mult", "seasonal_volume")
+    days = kpis.segment_days(_frame(spark, sf_dir), star.merchants(spark, sf_dir))
+    return _rounded(enrich.seasonal_index(days), 6, "expected_index", "observed_index")
 
 
 @query
@@ -504,6 +522,36 @@ def next_day_inputs(spark, sf_dir):
     return _rounded(learning.next_inputs(series), 6, "rolling_avg_7d", "rolling_avg_30d")
 
 
+@query
+def next_day_inputs_category(spark, sf_dir):
+    """E5, E6, on histories of more than 30 days"""
+    inputs = learning.next_inputs(_category_series(spark, sf_dir))
+    return _rounded(inputs, 6, "rolling_avg_7d", "rolling_avg_30d")
+
+
+def _linear(inputs: dict[str, Column]) -> Column:
+    """A fixed score in place of a trained one, which SQL can repeat."""
+    return sum((inputs[name] * F.lit(weight) for name, weight in WEIGHTS.items()), F.lit(0.0))
+
+
+def _linear_forecast(series: DataFrame, level: str) -> DataFrame:
+    found = learning.recursive(series, _linear, level=level, name="Linear")
+    return _rounded(found, 2, "predicted_revenue", "confidence_lower", "confidence_upper")
+
+
+@query
+def linear_forecast(spark, sf_dir):
+    """G2, I3, on histories of more than 30 days"""
+    return _linear_forecast(_category_series(spark, sf_dir), features.CATEGORY)
+
+
+@query
+def linear_forecast_merchant(spark, sf_dir):
+    """G2, I3, on short histories that grow"""
+    series = features.daily_series(_frame(spark, sf_dir), features.MERCHANT)
+    return _linear_forecast(series, features.MERCHANT)
+
+
 @query
 def gbt_forecast(spark, sf_dir):
     """I1, I3, I6, I7"""
@@ -631,7 +679,7 @@ def csv_transactions(spark, sf_dir):
     path = scratch_path(spark, "transactions-csv")
     names = [field.name for field in schemas.TRANSACTIONS]
     writers.write_csv(star.transactions(spark, sf_dir).select(*names), path)
-    return kpis.daily_rates(kpis.measures(readers.read_transactions(spark, path)))
+    return kpis.daily_kpis(readers.read_transactions(spark, path))
 
 
 @query
@@ -642,7 +690,4 @@ def csv_merchants(spark, sf_dir):
         {"onboarding_date": F.lit(None).cast("date"), "base_daily_volume": F.lit(BASE_VOLUME)}
     )
     writers.write_csv(internal, path, drop=("base_daily_volume",))
-    merchants = readers.read_merchants(spark, path)
-    return merchants.groupBy("business_category", "business_size").agg(
-        F.count(F.lit(1)).alias("merchants")
-    )
+    return readers.read_merchants(spark, path)

@@ -58,12 +58,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate lets it broadcast ``df`` by itself.
+#: Set to "true" for merchants too many to be broadcast (``kpis.join_merchants``).
+MANY_MERCHANTS = "merchantlens.manyMerchants"
 
-    This is the planner's own test, so a join written on the strength of it
-    needs no hint and never broadcasts more than the session allows.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+
+def many_merchants(spark: SparkSession) -> bool:
+    """Whether the session says that its merchants are too many to be broadcast."""
+    return spark.conf.get(MANY_MERCHANTS, "false") == "true"

@@ -51,20 +51,22 @@ def test_fee_rounds_half_up(spark, raw):
 
 
 @pytest.mark.parametrize(
-    "base, when, growth, category, mults, product, volume",
+    "when, category, mults, product",
     [
-        (10, "2024-10-28", 1.10, "SaaS", (1.182466, 1.2, 1.2, 1.4), 23.83851, 23),
-        (10, "2023-07-15", 1.10, "Travel", (1.053425, 1.3, 0.9, 1.0), 12.32507, 12),
-        (1, "2023-01-07", 1.05, "SaaS", (1.000822, 0.5, 0.9, 1.0), 0.45037, 1),
+        ("2024-10-28", "SaaS", (1.2, 1.2, 1.4), 2.016),
+        ("2023-07-15", "Travel", (1.3, 0.9, 1.0), 1.17),
+        ("2023-01-07", "SaaS", (0.5, 0.9, 1.0), 0.45),
     ],
 )
-def test_seasonal_index_K3(spark, base, when, growth, category, mults, product, volume):
-    df = spark.createDataFrame([(day(when), category)], "agg_date date, business_category string")
-    row = enrich.seasonal_index(df, F.lit(base), F.lit(growth)).first()
-    got = (row.growth_mult, row.weekly_mult, row.monthly_mult, row.festive_mult)
-    assert got == pytest.approx(mults, abs=1e-6)
-    assert row.seasonal_volume == pytest.approx(product, abs=1e-5)
-    assert row.expected_volume == volume
+def test_seasonal_index_K3(spark, when, category, mults, product):
+    days = spark.createDataFrame(
+        [(day(when), category, 30), (day("2022-03-15"), category, 10)],
+        "agg_date date, business_category string, total_transactions long",
+    )
+    row = enrich.seasonal_index(days).where(F.col("agg_date") == day(when)).first()
+    assert (row.weekly_mult, row.monthly_mult, row.festive_mult) == pytest.approx(mults)
+    assert row.expected_index == pytest.approx(product)
+    assert row.observed_index == pytest.approx(1.5)
 
 
 def test_event_calendar_K4(spark):
@@ -106,16 +108,3 @@ def test_event_effect_rates(txns):
     debit = got[(day("2024-10-02"), "Debit Card")]
     assert (debit.observed_success_rate, debit.observed_refund_rate) == (0.0, None)
     assert debit.expected_success_rate == pytest.approx(92.0)
-
-
-def test_seasonal_index_with_an_event(spark):
-    df = spark.createDataFrame(
-        [(day("2024-07-15"), "Travel", None), (day("2024-07-16"), "Travel", None)],
-        "agg_date date, business_category string, payment_method string",
-    )
-    index = enrich.seasonal_index(
-        enrich.event_calendar(df), F.lit(10), F.lit(1.0), event_mult=F.col("volume_mult")
-    )
-    got = rows(index.select("seasonal_volume", "expected_volume"))
-    assert [r[0] for r in got] == pytest.approx([24.3, 8.1])
-    assert [r[1] for r in got] == [24, 8]

@@ -16,7 +16,7 @@ from merchantlens.operators import (
     segments,
 )
 from merchantlens.operators.filters import Filters
-from merchantlens.session import fits_broadcast
+from merchantlens.session import MANY_MERCHANTS
 
 DAYS = Period.of("2024-01-10", "2024-02-20")
 
@@ -78,11 +78,28 @@ def with_conf(spark, found, **conf):
             spark.conf.set(name, value)
 
 
-def test_size_check(spark, stored):
-    assert fits_broadcast(stored[1])
-    threshold = "spark__sql__autoBroadcastJoinThreshold"
-    assert not with_conf(spark, lambda: fits_broadcast(stored[1]), **{threshold: "100"})
-    assert not with_conf(spark, lambda: fits_broadcast(stored[1]), **{threshold: "-1"})
+def test_a_selection_restricts_the_rows_before_they_are_summed(spark, stored):
+    frame, merchants = kpis.measures(stored[0]), stored[1]
+    one = Filters(DAYS, merchant="Merchant_7")
+
+    def build():
+        series = kpis.revenue_series(frame, merchants, one)
+        return rows(series), plan(series)
+
+    usual, _ = build()
+    found, text = with_setting(spark, MANY_MERCHANTS, "true", build)
+    assert found == usual and len(found) > 0
+    steps = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert "LeftSemi" in steps
+    assert steps.index("LeftSemi") > steps.index("HashAggregate")  # below the sums
+
+
+def with_setting(spark, name, value, found):
+    spark.conf.set(name, value)
+    try:
+        return found()
+    finally:
+        spark.conf.unset(name)
 
 
 def test_results_do_not_depend_on_join_or_partitions(spark, stored):
@@ -95,6 +112,8 @@ def test_results_do_not_depend_on_join_or_partitions(spark, stored):
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
     large = with_conf(spark, lambda: answers(*stored), **no_broadcast)
     assert small == large
+    many = with_setting(spark, MANY_MERCHANTS, "true", lambda: answers(*stored))
+    assert small == many
     assert len(small["orphans"]) == small["orphan_merchants"][0][1] > 0
 
 
