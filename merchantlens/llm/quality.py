@@ -11,7 +11,7 @@ A fifth of the labelled documents is kept out: on it each view is calibrated
 This combination scores all documents.
 
 Learning uses at most ``LABELLED`` labelled and ``POOL`` other documents, by hash of the
-key (parameters of ``fit``); scoring reads whole texts of all documents and shuffles
+key, one row a key (parameters of ``fit``); scoring reads whole texts of all documents and shuffles
 nothing.
 
 Rows: a null text counts as empty; null metadata are a value of their own; labels that
@@ -219,7 +219,7 @@ def fit(
     votes = votes.groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("y")).where("y <> 0.5")
     chosen = bounded(votes, "key", labelled, salt=23).select("key", F.round("y").alias("y"))
     keyed = docs.select(F.col(key).alias("key"), *_inputs(docs, text))
-    told = keyed.join(F.broadcast(chosen), "key")  # at most ``labelled`` rows
+    told = keyed.join(F.broadcast(chosen), "key")  # at most ``labelled`` keys
     others = bounded(keyed.where("key IS NOT NULL"), "key", pool, salt=29, rows=docs.count())
     others = others.join(F.broadcast(chosen), "key", "left_anti").withColumn("y", F.lit(None).cast("double"))
 
@@ -230,7 +230,10 @@ def fit(
             yield pa.RecordBatch.from_arrays(columns, ["key", "y", "text", "meta"])
 
     schema = carried(keyed, "key", new=f"y double, {_VIEWS}")
-    rows = told.unionByName(others).mapInArrow(run, schema).collect()
+    viewed = told.unionByName(others).mapInArrow(run, schema)
+    # A key counts once, however many rows have it.
+    once = viewed.groupBy("key").agg(F.min(F.struct("y", "text", "meta")).alias("row"))
+    rows = once.select("key", "row.*").collect()
     rows.sort(key=lambda row: (str(row.key), tuple(row.text)))
     if not rows:
         return None
