@@ -56,8 +56,8 @@ def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard.first_of_each(docs, rule=NEAR)
+    """One document of each group of near copies, whatever its key."""
+    return jaccard.first_of_each(docs, rule=NEAR, unkeyed=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from xxhash import xxh64_intdigest
 
 from merchantlens.llm.frames import carried
@@ -143,7 +143,9 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.record_batch(empty)
 
     new = "n int, cid long, bits array<long>, bucket int, count long"
-    return docs.mapInArrow(run, carried(docs, "key", new=new))
+    schema = carried(docs, "key", new=new)
+    nullable = T.StructField("key", schema["key"].dataType)  # the counts have no key
+    return docs.mapInArrow(run, T.StructType([nullable, *schema.fields[1:]]))
 
 
 def _listed(docs: DataFrame, rule: Rule, rank: np.ndarray, boundary: int) -> DataFrame:
@@ -357,13 +359,27 @@ def _of_class(found: DataFrame, rule: Rule) -> DataFrame:
     return found.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
 
 
-def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule()) -> DataFrame:
+def first_of_each(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule = Rule(), unkeyed: bool = False
+) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the smallest key stays.
 
-    Rows that share a key stay or go together, equal ones once; rows with a null key stay.
+    A row is told by its key and text, so one of several rows with a key can stay; rows
+    equal in both stay once.  Rows with a null key stay, or, if ``unkeyed``, are compared
+    like all others and come after every key.
     """
-    found = join(docs, text, key, rule)
-    stays = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("stays")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    keyed = rows.join(stays, F.col("key") == F.col("stays"), "left_semi").dropDuplicates(["key", "text"])
-    return keyed.unionByName(rows.where("key IS NULL")).select("row.*")
+    of_row = F.col(key), F.col(text)
+    own = F.struct(
+        F.col(key).isNull().alias("unkeyed"),
+        F.col(key).alias("key"),
+        F.xxhash64(*of_row).alias("h1"),
+        F.xxhash64(F.lit(7), *of_row).alias("h2"),
+    )
+    known = own if unkeyed else F.when(F.col(key).isNotNull(), own)
+    rows = docs.select(F.struct("*").alias("row"), known.alias("id"), F.col(text).alias("text"))
+    found = join(rows, "text", "id", rule)
+    stays = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("stays")).distinct()
+    # Equal rows are combined first, so no id is hot in the join.
+    told = rows.where("id IS NOT NULL").select("row", "id").dropDuplicates(["id"])
+    told = told.join(stays, F.col("id") == F.col("stays"), "left_semi")
+    return told.unionByName(rows.where("id IS NULL").select("row", "id")).select("row.*")

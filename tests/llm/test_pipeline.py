@@ -11,3 +11,15 @@ def test_near_copies_between_the_two_rules_go(spark, documents):
     texts = [words[0], replaced, words[1], longer, words[2], apart]
     docs = documents([(n, " ".join(text)) for n, text in enumerate(texts)])
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [0, 2, 4, 5]
+
+
+def test_one_row_of_a_component_stays_whatever_its_key(spark, documents):
+    text = {name: " ".join(f"{name}{n}" for n in range(50)) for name in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["b"] + " end"), (2, text["c"])]
+    rows += [(None, text["c"] + " end"), (None, text["d"]), (None, text["d"] + " end"), (None, text["d"])]
+    rows += [(3, None), (3, None), (None, None), (4, "")]
+    kept = corpus_pipeline.one_of_each(spark, documents(rows), "").collect()
+    found = [(r.doc_id, r.text[0] if r.text else r.text) for r in kept]
+    assert sorted(found, key=str) == sorted(
+        [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None), (None, None), (4, "")], key=str
+    )
