@@ -18,15 +18,15 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def store_transactions(txns: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Transactions in month folders, date-sorted inside each file.
+    """Transactions in month folders, each file holding a merchant range.
 
-    The rebalance hint groups a month's rows into few files and lets AQE split
-    a month that outgrows one task, so a hot month is no straggler.
+    Month folders prune by date and the files' min/max by merchant.  Range bounds are
+    sampled and go on by date, so a hot month or merchant is split over several files.
     """
     (
         txns.withColumn("txn_month", dates.month_start(F.col("transaction_date")))
-        .hint("rebalance", "txn_month")
-        .sortWithinPartitions("txn_month", "transaction_date")
+        .repartitionByRange("txn_month", "merchant_id", "transaction_date")
+        .sortWithinPartitions("txn_month", "merchant_id", "transaction_date")
         .write.mode(mode)
         .partitionBy("txn_month")
         .parquet(path)
