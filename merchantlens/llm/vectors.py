@@ -27,8 +27,8 @@ def usable(df: DataFrame, key: str, vec: str, component: Callable[[Column], Colu
     """``id`` long, ``vec`` and ``dim`` of the rows that can take part.
 
     Rows whose id or vector is null, whose vector is empty or has a null or
-    non-finite component take no part.  An id is one row: of several rows with
-    one id the smallest vector counts, so repeated rows count once.
+    non-finite component take no part.  Rows equal in id and vector count once;
+    different vectors of an id all take part, and as queries share their ranks.
     """
     numbers = F.col(vec).cast("array<double>")
     fine = F.forall(
@@ -36,7 +36,7 @@ def usable(df: DataFrame, key: str, vec: str, component: Callable[[Column], Colu
     )
     kept = df.where(F.col(key).isNotNull() & (F.size(vec) > 0) & fine)
     found = kept.select(F.col(key).cast("long").alias("id"), F.transform(numbers, component).alias("vec"))
-    return found.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    return found.dropDuplicates(["id", "vec"]).withColumn("dim", F.size("vec"))
 
 
 def first_of_equals(vectors: DataFrame, keep: int) -> DataFrame:
@@ -59,7 +59,7 @@ def cells(
     every = F.sequence(F.lit(0), F.lit(shards - 1))
     shard = F.explode(F.col("shards") if "shards" in queries.columns else every).alias("shard")
     kept = [c for c in queries.columns if c not in ("block", "shards")]
-    dealt = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)).cast("int").alias("block")
+    dealt = F.pmod(F.xxhash64(F.lit(3), "id", "vec"), F.lit(blocks)).cast("int").alias("block")
     right = queries.select(*kept, dealt, shard)
 
     def run(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +72,7 @@ def cells(
 
 
 def with_shard(vectors: DataFrame, shards: int) -> DataFrame:
-    return vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    return vectors.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int"))
 
 
 def parts(rows: int, each: int) -> int:
