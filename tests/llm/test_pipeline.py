@@ -1,6 +1,13 @@
 """Stages of the pipeline against plain versions."""
 
+import random
+
+import public_tokenizers
+from test_documents import plain_components, plain_dedup
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from merchantlens.llm import queries
 
 
 def test_near_copies_between_the_two_rules_go(spark, documents):
@@ -23,3 +30,41 @@ def test_one_row_of_a_component_stays_whatever_its_key(spark, documents):
     assert sorted(found, key=str) == sorted(
         [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None), (None, None), (4, "")], key=str
     )
+
+
+def test_stages_after_the_classifiers_against_plain_versions(spark, documents, tmp_path):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(15):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([6, 60, 150]))]
+        for _ in range(3):
+            if rng.random() < 0.7:
+                words = [*words]
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            lines = ["Common line"] * (rng.random() < 0.6) + [" ".join(words), f"own {rng.randrange(20)}"]
+            texts.append("\n".join(lines))
+    docs = documents(list(enumerate(texts)))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[2:4]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+    kept = [text for _, _, text in plain_dedup(texts, 10)]
+    stays = {n: kept[n] for n, (_, root) in enumerate(plain_components(kept, corpus_pipeline.NEAR)) if root == n}
+    assert 0 < len(stays) < len(texts) and kept != texts
+    assert {r.doc_id: r.text for r in docs.collect()} == stays
+    tokens = {}
+    for r in corpus_pipeline.packed(spark, docs, "").collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = {n: len(library.encode(text, add_special_tokens=False).ids) + 1 for n, text in stays.items()}
+    assert tokens == encoded
+
+
+def test_classifiers_keep_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = queries.table(spark, sf, "documents")
+    clean = queries.table(spark, sf, "labels").where("quality = 1").join(docs, "doc_id").select("doc_id").distinct()
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, sf)
+    kept, total = docs.join(clean, "doc_id", "left_semi").count(), clean.count()
+    print("KEPT", kept, total)
+    assert kept >= 0.95 * total
