@@ -4,7 +4,8 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from helpers import day, series_of
+from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -21,16 +22,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def rows(df, *order):
-    """Collected rows as tuples, sorted by ``order`` or by their text."""
-    found = [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
-    return found if order else sorted(found, key=str)
-
-
-def day(text):
-    return dt.date.fromisoformat(text)
-
-
 RAW = T.StructType(schemas.TRANSACTIONS.fields[:6])
 
 # The micro table M1: id, merchant, time, amount, method, status.
@@ -80,23 +71,8 @@ def frame(request, txns, daily):
     return kpis.measures(txns) if request.param == "transactions" else daily
 
 
-def series_of(spark, values, start="2024-01-01", key="s"):
-    first = day(start)
-    data = [
-        (key, first + dt.timedelta(days=i), None if v is None else float(v))
-        for i, v in enumerate(values)
-    ]
-    return spark.createDataFrame(data, "series_key string, agg_date date, net_revenue double")
-
-
 @pytest.fixture(scope="session")
 def ramp(spark):
     """The micro series M2: 1..40 from Monday 2024-01-01."""
     return series_of(spark, range(1, 41))
 
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-__all__ = ["F", "day", "plan", "rows", "series_of"]

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day, rows, series_of
+from helpers import day, rows, series_of
 
 from merchantlens.functions.dates import Period
 from merchantlens.operators import features

@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, rows, series_of
+from helpers import day, rows, series_of
 
 from merchantlens import schemas
 from merchantlens.functions.dates import Period

@@ -4,7 +4,7 @@ import datetime as dt
 import shutil
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from merchantlens import __main__ as command, schemas

@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, rows
+from helpers import day, rows
 
 from merchantlens.functions.dates import Period
 from merchantlens.operators import kpis

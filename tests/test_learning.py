@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day, series_of
+from helpers import day, series_of
 from pyspark.ml.linalg import Vectors
 
 from merchantlens.operators import features, forecast, learning

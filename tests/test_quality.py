@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from merchantlens.operators import quality
 

@@ -1,7 +1,7 @@
 """Both join strategies, hot merchants, partition counts and plan shapes."""
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from merchantlens.functions.dates import Period

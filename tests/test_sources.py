@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, plan, rows
+from helpers import day, plan, rows
 from pyspark.sql import functions as F
 
 from merchantlens import schemas, session
