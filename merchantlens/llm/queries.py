@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantlens.llm import ann, bpe, jaccard, langid, lines, packing, quality, sharding, topk, urls
+from merchantlens.llm import ann, bpe, jaccard, langid, lines, packing, quality, sharding, topk, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, its form and the root of its forms."""
+    return variants.group(variants.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_bpe,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         op8_jaccard,
         op9_packing,
         op10_top_k,
+        op13_spelling,
     )
     return {query.__name__: query for query in found}
 
