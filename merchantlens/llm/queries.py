@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantlens.llm import ann, bpe, jaccard, langid, lines, packing, quality, sharding, topk, urls, variants
+from merchantlens.llm import ann, bpe, jaccard, langid, licenses, lines, packing, quality, sharding, topk, urls, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license phrases and notices in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("row.doc_id", *names)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word with its near words, its form and the root of its forms."""
     return variants.group(variants.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -96,6 +103,7 @@ def queries() -> dict[str, Query]:
         op8_jaccard,
         op9_packing,
         op10_top_k,
+        op12_licenses,
         op13_spelling,
     )
     return {query.__name__: query for query in found}
@@ -246,6 +254,42 @@ def _urls_sql() -> str:
     """
 
 
+def _licenses_sql() -> str:
+    def listed(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+    phrases = ", ".join(f"({listed(phrase.split())}, '{label}')" for phrase, label in licenses.PHRASES)
+    templates = ", ".join(f"({listed(t.tokens)}, '{t.label}')" for t in licenses.TEMPLATES)
+    return f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '{licenses.WORD}') AS w
+        FROM documents),
+    phrases(p, label) AS (VALUES {phrases}),
+    templates(t, label) AS (VALUES {templates}),
+    places AS (
+        SELECT d, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS s
+        FROM docs, phrases WHERE list_contains(w, p[1])),
+    starts AS (SELECT d, w, unnest(range(0, len(w), {licenses.STRIDE})) AS s FROM docs),
+    blocks AS (SELECT d, w[s + 1 : s + {2 * licenses.STRIDE}] AS b FROM starts),
+    met AS (
+        SELECT d, label, len(list_intersect(t, b)) AS shared, len(t) AS size FROM blocks, templates
+        WHERE 100 * len(list_intersect(t, b)) >= {licenses.SHARE} * len(t)),
+    base AS (
+        SELECT d, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+        FROM places GROUP BY d),
+    added AS (SELECT d, max(shared / size::DOUBLE) AS score FROM met GROUP BY d),
+    every AS (
+        SELECT d, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+        FROM (SELECT d, label FROM places UNION SELECT d, label FROM met) GROUP BY d)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+    FROM docs LEFT JOIN base USING (d) LEFT JOIN every USING (d) LEFT JOIN added USING (d)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": _sharding_sql(),
@@ -253,4 +297,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": _LINES_SQL,
         "op8_jaccard": _JACCARD_SQL,
         "op10_top_k": _TOP_K_SQL,
+        "op12_licenses": _licenses_sql(),
     }
