@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchantlens.llm import ann, bpe, jaccard, langid, licenses, lines, packing, quality, sharding, topk, urls, variants
+from merchantlens.llm import (
+    alignment,
+    ann,
+    bpe,
+    jaccard,
+    langid,
+    licenses,
+    lines,
+    packing,
+    quality,
+    sharding,
+    topk,
+    urls,
+    variants,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +93,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies line up in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license phrases and notices in every document."""
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -103,6 +123,7 @@ def queries() -> dict[str, Query]:
         op8_jaccard,
         op9_packing,
         op10_top_k,
+        op11_alignment,
         op12_licenses,
         op13_spelling,
     )
