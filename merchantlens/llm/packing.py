@@ -11,7 +11,7 @@ and few gaps below ``least_cut`` are padding.
 
 Token ids are those of the tokenizers library, followed by ``end_id``.  White space
 never reaches a token of this vocabulary, so words between spaces are encoded by the
-library once and memoised.
+library once and memoised.  The memo is bounded by bytes and dropped with its task.
 
 Rows: a null text counts as empty, which is ``end_id`` alone; a null key stays null;
 repeated rows are documents of their own; an empty table gives an empty result.
@@ -19,6 +19,7 @@ repeated rows are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -35,6 +36,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from merchantlens.llm.bpe import byte_letters
 from merchantlens.llm.frames import carried
 from merchantlens.session import cut_lineage
 
@@ -43,10 +45,13 @@ OPEN_WINDOWS = 64
 LEAST_CUT = 16
 END_ID = 2
 MERGED = 8
-MEMO = 800_000
+#: Bytes that a task's memo may take, those of a word, and those of a letter with its share of ids.
+MEMO_BYTES, WORD_BYTES, LETTER_BYTES = 64 << 20, 200, 3
 TEXTS = 256
 #: Words encoded in one call.
 TOGETHER = 2048
+#: What marks a word's last letter in the vocabulary, and a character that is in no word.
+WORD_END, MARK = "</w>", "\x01"
 is_none = partial(is_, None)
 #: Characters whose lower case depends on their neighbours, and the mark of special tokens.
 _PLAIN = regex.compile(r"Σ|<\|")
@@ -57,68 +62,92 @@ def _settled(letter: str) -> bool:
     return letter.isalnum() and letter == letter.lower() and is_normalized("NFC", letter)
 
 
+@lru_cache(maxsize=1)
+def tokenizers(path: str) -> tuple:
+    """The library's tokenizer; one for words of letters; for each id whether it ends a word.
+
+    The second merges bytes to the token of least id that they make together.  That is what
+    the list of merges does if ids rise with its ranks and each token's own bytes come to
+    that token: what is merged inside a token does not depend on what is around it.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    vocabulary, letters = told["model"]["vocab"], byte_letters()
+    special = {token["content"] for token in told["added_tokens"]}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+    made = [vocabulary[a + b] for a, b in pairs]
+    if made != sorted(made):
+        raise ValueError("ids must rise with the ranks of merges")
+    ranks, ends = {}, np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    for token, i in vocabulary.items():
+        if token not in special:
+            ends[i] = token.endswith(WORD_END)
+            data = bytes(letters[c] for c in token.removesuffix(WORD_END))
+            ranks[data + MARK.encode() * int(ends[i])] = i
+    plain = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+    return found, plain, ends
+
+
 class WordIds(dict):
     """The packed ids of what stands between two spaces, as the library gives them."""
 
     def __init__(self, path: str):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.plain, self.ends = tokenizers(path)
+        self.used = 0
 
     def _ids(self, words: list[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words; those of letters alone many at a time, cut after each word's end."""
+        """Encode words; those of lower-case letters alone many at a time, cut after each word's end."""
         plain = [w for w in words if w.isalpha() and w.islower() and is_normalized("NFC", w)]
         for start in range(0, len(plain), TOGETHER):
             part = plain[start : start + TOGETHER]
-            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found[0].ids, dtype="<u4")
+            found = self.plain.encode_ordinary("".join(word + MARK for word in part))
+            ids = np.array(found, dtype="<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-            if len(cuts) == len(part) + 1:
-                data = ids.tobytes()
-                self.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+            data = ids.tobytes()
+            self.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         rest = [w for w in words if w not in self]
         self.update(zip(rest, self._ids(rest), strict=True))
 
     def _split(self, text: str) -> list[str]:
         return (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ")
 
+    def _know(self, words: set[str]) -> None:
+        """Learn words that are not known yet."""
+        # After a letter or digit a comma or stop is a token of its own.
+        stems = {w: w[:-1] for w in words if w[-1] in ",." and _settled(w[-2:-1])}
+        learned = (words - stems.keys() | {*stems.values(), ",", "."}) - self.keys()
+        self._learn(list(learned))
+        self.update((w, self[stem] + self[w[-1]]) for w, stem in stems.items())
+        added = words | learned
+        self.used += WORD_BYTES * len(added) + LETTER_BYTES * sum(map(len, added))
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        if len(self) > MEMO:
+        if self.used > MEMO_BYTES:
             self.clear()
+            self.used = 0
         self[""] = b""
         split = [self._split(text) for text in texts]
+        known = [list(map(self.get, words)) for words in split]
         new: set[str] = set()
-        for words in split:
-            new.update(compress(words, map(is_none, map(self.get, words))))
-        # After a letter or digit a comma or stop is a token of its own.
-        stems = {w: w[:-1] for w in new if w[-1] in ",." and _settled(w[-2:-1])}
-        learned = list((new - stems.keys() | {*stems.values(), ",", "."}) - self.keys())
-        self._learn(learned)
-        self.update((w, self[stem] + self[w[-1]]) for w, stem in stems.items())
-        for words in split:
-            yield np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
-        for word in (*new, *learned):
-            if len(word) > 64:
-                self.pop(word, None)
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One memo in a Python worker; it lasts from task to task."""
-    return WordIds(path)
+        for words, ids in zip(split, known, strict=True):
+            new.update(compress(words, map(is_none, ids)))
+        self._know(new)
+        for words, ids in zip(split, known, strict=True):
+            whole = [self[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            yield np.frombuffer(b"".join(whole), dtype="<u4")
 
 
 class Packer:
@@ -222,7 +251,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = WordIds(path)
         packer = Packer(length, open_windows, least_cut, TaskContext.get().partitionId() << 32)
         kind = None
         for batch in batches:

@@ -259,3 +259,27 @@ def test_views_teach_each_other():
     known = np.arange(400) < 60
     model = quality.co_train(text[known], meta[known], y[known], np.arange(60) % 5 < 2, text[~known], meta[~known])
     assert (((model(text, meta)[0] > 0.5) == y)[~known]).mean() > 0.97
+
+
+def test_words_of_letters_are_encoded_as_by_the_library(monkeypatch):
+    rng = random.Random(4)
+    library, plain, ends = packing.tokenizers(WORDS)
+    letters = "abcdeinrstuéüßñçœдж語अ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    # Every token of letters comes to itself, which makes the faster coder exact.
+    words += [t.removesuffix("</w>") for t in library.get_vocab() if t.removesuffix("</w>").isascii() and t.islower()]
+    words += ["a" * 3000, "naïve", "ﬁ", "İx", "don't", "x,y", "a.b.", "it's,", "é"]
+    monkeypatch.setattr(packing, "MEMO_BYTES", 100_000)
+    memo = packing.WordIds(WORDS)
+    texts = [" ".join(words[at : at + 300]) for at in range(0, len(words), 300)]
+    got = [ids.tolist() for start in range(0, len(texts), 4) for ids in memo.encode(texts[start : start + 4])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert memo.used < 300_000
+
+
+def test_repeated_rows_are_packed_apart(documents):
+    docs = documents([(1, "one two three"), (1, "one two three"), (2, None), (2, None)])
+    pieces = packing.pack(docs, WORDS, length=4).collect()
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values()) * 2
+    places = sorted((p.sequence_id, p.offset + n) for p in pieces for n in range(p.length))
+    assert len(places) == len(set(places)) and all(at < 4 for _, at in places)
