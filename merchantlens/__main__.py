@@ -1,6 +1,7 @@
 """Command line: ``spark-submit`` this package, or ``python -m merchantlens``.
 
     load       merchants.csv transactions.csv WAREHOUSE
+    append     transactions.csv WAREHOUSE
     check      WAREHOUSE
     explore    WAREHOUSE --out DIR
     forecast   WAREHOUSE [--level Platform|Category|Merchant] [--horizon N] [--baseline]
@@ -46,6 +47,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
         return sub
 
     job("load", "merchants", "transactions", "warehouse")
+    job("append", "transactions", "warehouse")
     job("check", "warehouse")
     job("explore", "warehouse")
     forecast = job("forecast", "warehouse")
@@ -75,6 +77,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         counts = load.load(spark, args.merchants, args.transactions, args.warehouse)
         deliver({"row_counts": counts}, args.out)
         return
+    if args.job == "append":
+        deliver({"row_counts": load.append(spark, args.transactions, args.warehouse)}, args.out)
+        return
     house = load.Warehouse(args.warehouse)
     if args.job == "check":
         deliver(load.check(spark, args.warehouse), args.out)

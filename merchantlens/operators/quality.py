@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from merchantlens.operators import skew
+
+
+ROW_COUNTS = T.StructType(
+    [T.StructField("table_name", T.StringType()), T.StructField("row_count", T.LongType())]
+)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -19,11 +26,16 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def orphans(txns: DataFrame, merchants: DataFrame) -> DataFrame:
     """Transactions whose merchant is unknown or missing.
 
-    These are the rows the inner join of the KPIs leaves out.  The unknown ids
-    come from the counted form, in which a hot merchant is one row.
+    These are the rows the inner join of the KPIs leaves out.  Merchants are counted
+    first; one with a large share of all rows is broadcast, and rows without a merchant
+    are told without a join (``skew.lookup``).
     """
-    unknown = orphan_merchants(txns, merchants).select(F.col("merchant_id").alias("_unknown"))
-    return txns.join(unknown, F.col("merchant_id").eqNullSafe(F.col("_unknown")), "left_semi")
+    known = merchants.select("merchant_id").distinct().withColumn("known", F.lit(True))
+    counted = txns.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n"))
+    table = counted.where(F.col("merchant_id").isNotNull()).join(known, "merchant_id", "left")
+    looked = skew.lookup(txns, table, "merchant_id", light=F.col("known").isNull())
+    unknown = F.col("found").isNotNull() & F.col("found.known").isNull()
+    return looked.where(F.col("merchant_id").isNull() | unknown).select(*txns.columns)
 
 
 def orphan_merchants(txns: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -247,6 +247,31 @@ SELECT merchant_id, {day_text('agg_date')} AS agg_date, count(*) AS row_count
 FROM raw GROUP BY merchant_id, raw.agg_date HAVING count(*) > 1"""
     sql["duplicate_transactions"] = """SELECT o_orderkey AS transaction_id, count(*) AS row_count
 FROM orders GROUP BY o_orderkey HAVING count(*) > 1"""
+    faulty = f"""{RAW}, known AS (SELECT c_custkey AS merchant_id FROM customer WHERE c_acctbal >= 0),
+faulty AS (
+  SELECT * FROM raw
+  UNION ALL SELECT * FROM raw WHERE transaction_id % 75 = 0
+  UNION ALL SELECT * REPLACE (CAST(transaction_amount + 1 AS DECIMAL(18,2)) AS transaction_amount)
+    FROM raw WHERE transaction_id % 50 = 0
+  UNION ALL SELECT * REPLACE (NULL AS payment_method) FROM raw WHERE transaction_id % 125 = 0
+  UNION ALL SELECT * REPLACE (NULL AS transaction_id) FROM raw WHERE transaction_id % 301 = 0
+  UNION ALL SELECT * REPLACE (-transaction_id AS transaction_id, NULL AS merchant_id)
+    FROM raw WHERE transaction_id % 302 = 0), judged AS (
+  SELECT *, CASE WHEN transaction_id IS NULL THEN 'missing_key'
+                 WHEN merchant_id IS NULL THEN 'missing_parent'
+                 WHEN merchant_id NOT IN (SELECT merchant_id FROM known) THEN 'unknown_parent' END AS fault
+  FROM faulty), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fault IS NULL, transaction_id
+      ORDER BY merchant_id NULLS FIRST, transaction_date NULLS FIRST, transaction_amount NULLS FIRST,
+               payment_method NULLS FIRST, payment_status NULLS FIRST) AS place
+  FROM judged)"""
+    loaded = f"""transaction_id, merchant_id, {day_text('agg_date')} AS transaction_date,
+       CAST(transaction_amount AS DOUBLE) AS transaction_amount, payment_method, payment_status"""
+    sql["loaded_accepted"] = f"""WITH {faulty}
+SELECT {loaded} FROM ranked WHERE fault IS NULL AND place = 1"""
+    sql["loaded_rejected"] = f"""WITH {faulty}
+SELECT {loaded}, coalesce(fault, 'repeated_key') AS reason, count(*) AS copies
+FROM ranked WHERE fault IS NOT NULL OR place > 1 GROUP BY ALL"""
     columns = (
         "transaction_id",
         "merchant_id",
@@ -573,6 +598,7 @@ FROM scored WHERE {' OR '.join(f'abs(z_{m}) > 3' for m in metrics)}"""
     sql["stored_transactions"] = sql["payment_mix"]
     sql["csv_transactions"] = f"""SELECT * REPLACE (CAST(merchant_id AS VARCHAR) AS merchant_id)
 FROM ({sql['daily_kpis']})"""
+    sql["refreshed_daily"] = sql["csv_transactions"]
     sql["csv_merchants"] = f"""WITH {MERCHANTS}
 SELECT CAST(merchant_id AS VARCHAR) AS merchant_id, merchant_name, business_category, business_size,
        CAST(NULL AS VARCHAR) AS onboarding_date FROM merchants"""

@@ -15,6 +15,7 @@ from merchantlens.operators import (
     features,
     filters as flt,
     forecast,
+    gate,
     insights,
     kpis,
     learning,
@@ -22,6 +23,7 @@ from merchantlens.operators import (
     segments,
 )
 from merchantlens.operators.filters import Filters
+from merchantlens.plans import load
 from merchantlens.session import cut_lineage, scratch_path
 from merchantlens.sources import readers, star, writers
 
@@ -177,6 +179,52 @@ def duplicate_transactions(spark, sf_dir):
     return quality.duplicate_keys(star.raw_transactions(spark, sf_dir), "transaction_id")
 
 
+def _faulty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with repeated rows and ids, and rows without an id or a merchant."""
+    raw = star.raw_transactions(spark, sf_dir)
+    number = F.col("transaction_id")
+    dearer = (F.col("transaction_amount") + 1).cast(schemas.MONEY)
+    nothing = F.lit(None)
+    return (
+        raw.unionByName(raw.where(number % 75 == 0))
+        .unionByName(raw.where(number % 50 == 0).withColumn("transaction_amount", dearer))
+        .unionByName(raw.where(number % 125 == 0).withColumn("payment_method", nothing.cast("string")))
+        .unionByName(raw.where(number % 301 == 0).withColumn("transaction_id", nothing.cast("long")))
+        .unionByName(
+            raw.where(number % 302 == 0)
+            .withColumn("transaction_id", -number)
+            .withColumn("merchant_id", nothing.cast("long"))
+        )
+    )
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    known = _in_good_standing(spark, sf_dir)
+    return gate.gate(_faulty_transactions(spark, sf_dir), "transaction_id", "merchant_id", known)
+
+
+_PLAIN = {"transaction_date": F.to_date, "transaction_amount": lambda c: F.col(c).cast("double")}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: change(name) for name, change in _PLAIN.items()})
+
+
+@query
+def loaded_accepted(spark, sf_dir):
+    """C3, C4 at load: the rows that keep the constraints, stored and read back"""
+    path = scratch_path(spark, "accepted")
+    accepted, _ = _gated(spark, sf_dir)
+    writers.store_transactions(accepted, path)
+    return _plain(readers.read_table(spark, path).drop("txn_month"))
+
+
+@query
+def loaded_rejected(spark, sf_dir):
+    """C3, C4 at load: the rows that do not, with the reason and how many are equal"""
+    return _plain(_gated(spark, sf_dir)[1])
+
+
 @query
 def null_rates(spark, sf_dir):
     """K7"""
@@ -673,6 +721,22 @@ def stored_transactions(spark, sf_dir):
     return segments.payment_mix(readers.read_table(spark, path), PERIOD)
 
 
+@query
+def refreshed_daily(spark, sf_dir):
+    """A3, A5: the merchant-day table after an append, of whose months alone it is computed again"""
+    house = load.Warehouse(scratch_path(spark, "refreshed"))
+    declared = [F.col(field.name).cast(field.dataType) for field in schemas.TRANSACTIONS]
+    txns = star.transactions(spark, sf_dir).select(*declared)
+    late = F.col("transaction_date") >= dates.timestamp_literal(LAST_QUARTER.start)
+    added = late & (F.xxhash64("transaction_id") % 3 != 0)
+    writers.store_transactions(txns.where(~added), house.path("transactions"))
+    stored = house.table(spark, "transactions")
+    writers.materialize_daily(kpis.daily_kpis(stored), house.path("daily_aggregates"))
+    writers.store_transactions(txns.where(added), house.path("transactions"), "append")
+    load.refresh(spark, house.root, load.months_of(txns.where(added)))
+    return house.table(spark, "daily_aggregates").drop("agg_month")
+
+
 @query
 def csv_transactions(spark, sf_dir):
     """Transactions written as CSV, read back under the schema"""

@@ -53,7 +53,9 @@ def test_load_counts(house):
     assert house[1] == [
         ("daily_aggregates", DAYS * 3),
         ("merchants", 3),
+        ("merchants_rejected", 0),
         ("transactions", DAYS * 12),
+        ("transactions_rejected", 0),
     ]
 
 
