@@ -31,6 +31,7 @@ the input only key and text are read, so no name can clash.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain, compress
@@ -40,6 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -55,9 +57,12 @@ TEXTS, CHUNKS = 256, 4096
 SEGMENT, FAN_IN = 1 << 14, 16
 SPACE = "▁"
 is_none = partial(is_, None)
-#: Where a word surely begins; and white space next to a possible beginning.
+#: Where a word surely begins; what stands after its first character if there is more white space.
 _CUT = regex.compile(r"(?<=\S)(?=[ \n]\S)")
-_ODD = regex.compile(r"\s[ \n]|[ \n]\s|^\s|\s$")
+_MORE = regex.compile(r"\G\s|[ \n]")
+#: Marks the name of a chunk with more white space; rows of chunks that do not stand for tokens.
+WIDE = "  "
+LOSSY, ODD = -1, -2
 
 
 class Tokenizers:
@@ -65,7 +70,6 @@ class Tokenizers:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        import tiktoken
 
         vocabulary = Vocabulary(path_a)
         made = [made for _, made in vocabulary.merges.values()]
@@ -83,14 +87,35 @@ class Tokenizers:
         }
         if any("\n" in piece or SPACE in piece.lstrip(SPACE) for piece in pieces):
             raise ValueError("pieces must not reach into the next word")
-        self.space = self.b.piece_to_id(SPACE)
         self.length_a, self.length_b = _lengths(self.bytes_a), _lengths(self.bytes_b)
-
-    def ids_a(self, chunks: list[str], together: bool) -> list[int]:
-        """Ids of each chunk; ``together`` if none begins or ends with more white space."""
-        if together:
-            return self.a.encode_ordinary("".join(chunks))
-        return list(chain.from_iterable(map(self.a.encode_ordinary, chunks)))
+        self._merge_bytes(pieces)
+
+    def _merge_bytes(self, pieces: list[str]) -> None:
+        """B's merges as merges of bytes, for texts of characters of one or two bytes.
+
+        Both ways merge the two neighbours that make the piece of highest score, once
+        each character is one symbol: those of two bytes therefore come first.
+        """
+        normal = [i for i in range(len(pieces)) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        of_bytes = {self.bytes_b[i]: i for i in normal}
+        if len(of_bytes) < len(normal):
+            raise ValueError("pieces must differ")
+        single = {self.bytes_b[i]: i for i in range(len(pieces)) if self.b.is_byte(i)} | {
+            data: i for data, i in of_bytes.items() if len(data) == 1
+        }
+        wide = {data: i for data, i in of_bytes.items() if len(data) == 2 and len(data.decode()) == 1}
+        longer = [i for i in normal if len(self.bytes_b[i].decode()) > 1]
+        longer.sort(key=lambda i: -self.b.get_score(i))
+        order = [*single.items(), *wide.items(), *((self.bytes_b[i], i) for i in longer)]
+        self.piece_of = np.array([i for _, i in order])
+        ranks = {data: rank for rank, (data, _) in enumerate(order)}
+        self.fast_b = tiktoken.Encoding("b", pat_str=r"[ \n][^ \n]*", mergeable_ranks=ranks, special_tokens={})
+        letters = "".join(data.decode() for data in wide)
+        self.merged = regex.compile(rf"[\x00-\x7F{regex.escape(letters)}]*")
+
+    def fast(self, key: str) -> bool:
+        """Whether B's merges of bytes do for a chunk."""
+        return key.isascii() or self.merged.fullmatch(key) is not None
 
     def ids_b(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk; the library itself puts a space in front."""
@@ -126,17 +151,25 @@ def most_pairs(bytes_a: dict[int, bytes], bytes_b: dict[int, bytes]) -> int:
 
 
 def keys_of(text: str) -> list[str]:
-    """A space and the text, cut where words surely begin.
+    """A space and the text, cut at each space and before each line feed: chunks without their space."""
+    return text.replace("\n", " \n").split(" ")
 
-    A chunk that begins with a space and ends in no white space is named without its space.
-    """
-    if not _ODD.search(text):
-        return text.replace("\n", " \n").split(" ")
-    return [c[1:] if c[0] == " " and not (c[1:2].isspace() or c[-1].isspace()) else c for c in _CUT.split(" " + text)]
+
+def sure_keys_of(text: str) -> list[str]:
+    """The same for any text, cut only where a word surely begins; ``WIDE`` marks what may be no word."""
+    return [
+        WIDE + c if _MORE.search(c, 1) or c[-1].isspace() else c if c[0] == "\n" else c[1:] for c in _CUT.split(" " + text)
+    ]
+
+
+def is_odd(key: str) -> bool:
+    """Whether there is white space at an end besides the space or line feed that begins the chunk."""
+    word = key[1:] if key[:1] == "\n" else key
+    return not word or word[0].isspace() or word[-1].isspace()
 
 
 def chunk_of(key: str) -> str:
-    return key if key[0] in " \n" else " " + key
+    return key[len(WIDE) :] if key[:2] == WIDE else key if key[0] == "\n" else " " + key
 
 
 class PerfectHash:
@@ -227,7 +260,7 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}  # -1: its tokens do not give back its bytes
+        self.rows: dict[str, int] = {}  # LOSSY: its tokens do not give back its bytes
         self.used = self.known = 0
         self.pairs: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
@@ -238,27 +271,35 @@ class Aligner:
     def full(self) -> bool:
         return self.used > MEMO_BYTES
 
-    def learn(self, keys: list[str]) -> None:
-        odd = [key for key in keys if key[0] == " " or key[-1].isspace()]
-        if odd:
-            keys = list(set(keys).difference(odd))
-        for found in (keys, odd):
+    def learn(self, keys: set[str]) -> None:
+        """Align what is new; a chunk with white space at an end may not be cut as it was."""
+        odd = [key for key in keys if key[:2] != WIDE and is_odd(key)]
+        self.rows.update(dict.fromkeys(odd, ODD))
+        keys = keys.difference(odd)
+        wide = [key for key in keys if key[:2] == WIDE]
+        fast = [key for key in keys if key[:2] != WIDE and self.both.fast(key)]
+        for found in (fast, wide, list(keys.difference(wide, fast))):
             for start in range(0, len(found), CHUNKS):
-                self._learn(found[start : start + CHUNKS], found is keys)
+                self._learn(found[start : start + CHUNKS], found is fast, found is wide)
 
-    def _learn(self, keys: list[str], together: bool) -> None:
+    def _learn(self, keys: list[str], fast: bool, wide: bool) -> None:
         chunks = list(map(chunk_of, keys))
         data = [chunk.encode() for chunk in chunks]
-        each_b, of_b = self.both.ids_b(chunks), self.both.bytes_b
-        if b"".join(map(of_b.__getitem__, chain.from_iterable(each_b))) != b"".join(data):
+        if fast:
+            ids_b = self.both.piece_of[self.both.fast_b.encode_ordinary("".join(chunks))]
+        else:
+            each_b, of_b = self.both.ids_b(chunks), self.both.bytes_b
             fits = [b"".join(map(of_b.__getitem__, ids)) == d for ids, d in zip(each_b, data, strict=True)]
-            self.rows.update((key, -1) for key, fit in zip(keys, fits, strict=True) if not fit)
+            self.rows.update((key, LOSSY) for key, fit in zip(keys, fits, strict=True) if not fit)
             self.used += CHUNK_BYTES * fits.count(False)
             keys, chunks, data, each_b = (list(compress(of, fits)) for of in (keys, chunks, data, each_b))
             if not chunks:
                 return
-        ids_a = np.array(self.both.ids_a(chunks, together), dtype=np.int64)
-        ids_b = np.fromiter(chain.from_iterable(each_b), dtype=np.int64)
+            ids_b = np.fromiter(chain.from_iterable(each_b), dtype=np.int64)
+        if wide:
+            ids_a = np.array(list(chain.from_iterable(map(self.both.a.encode_ordinary, chunks))))
+        else:
+            ids_a = np.array(self.both.a.encode_ordinary("".join(chunks)))
         ends = np.cumsum([len(d) for d in data])
         ends_a, ends_b = np.cumsum(self.both.length_a[ids_a]), np.cumsum(self.both.length_b[ids_b])
         if ends_a[-1] != ends[-1] or ends_b[-1] != ends[-1]:
@@ -302,17 +343,26 @@ class Aligner:
         stops = np.cumsum(self.widths[signs])[ends - 1].tolist()
         return [whole[start : stop - 1] for start, stop in zip([0, *stops], stops, strict=False)]
 
-    def rows_of(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+    def rows_of(self, texts: list[str | None]) -> Iterator[list[int] | None]:
         """The rows of each text's chunks; None for a text without tokens."""
         split = [keys_of(text) if text else [] for text in texts]
+        seen = self._seen(split)
+        odd = [n for n, rows in enumerate(seen) if rows and min(rows) == ODD]
+        for n, rows in zip(odd, self._seen([sure_keys_of(texts[n]) for n in odd]), strict=True):
+            seen[n] = rows
+        for rows in seen:
+            yield None if not rows or min(rows) < 0 else rows
+
+    def _seen(self, split: list[list[str]]) -> list[list[int]]:
         seen = [list(map(self.rows.get, keys)) for keys in split]
         new: set[str] = set()
         for keys, rows in zip(split, seen, strict=True):
             new.update(compress(keys, map(is_none, rows)))
-        self.learn(list(new))
-        for keys, rows in zip(split, seen, strict=True):
-            found = np.array([self.rows[key] if row is None else row for key, row in zip(keys, rows, strict=True)])
-            yield None if not len(found) or found.min() < 0 else found
+        self.learn(new)
+        return [
+            [self.rows[key] if row is None else row for key, row in zip(keys, rows, strict=True)]
+            for keys, rows in zip(split, seen, strict=True)
+        ]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -338,10 +388,12 @@ def _partial_counts(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
             return found, added
 
         for _, texts in _slices(batches):
-            found = [rows for rows in aligner.rows_of(texts) if rows is not None]
+            found = Counter()
+            for rows in aligner.rows_of(texts):
+                found.update(rows or ())
             uses = np.pad(uses, (0, aligner.known - len(uses)))
             if found:
-                uses += np.bincount(np.concatenate(found), minlength=aligner.known)
+                uses[list(found)] += list(found.values())
             if aligner.full:
                 pairs, sums = fold()
                 aligner.clear()
@@ -432,7 +484,7 @@ def align(
                     groups.append("")
                     continue
                 numbers.append(aligner.stats[found].sum(axis=0))
-                made = ";".join(map(aligner.groups.__getitem__, found.tolist()))
+                made = ";".join(map(aligner.groups.__getitem__, found))
                 digests.append(hashlib.sha256(made.encode()).hexdigest())
                 groups.append(made if with_groups else "")
             n_a, n_b, n_groups, n_best, count_sum = np.array(numbers, dtype=np.int64).T

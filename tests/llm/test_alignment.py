@@ -149,3 +149,14 @@ def test_the_bound_on_pairs():
     of_a, of_b = {0: b"ab", 1: b"b", 2: b"cab"}, {0: b"b", 1: b"ab", 2: b"xab", 3: b"b"}
     ends = sum(x.endswith(y) or y.endswith(x) for x in of_a.values() for y in of_b.values())
     assert alignment.most_pairs(of_a, of_b) == ends
+
+
+def test_merges_of_bytes_are_those_of_the_library(both):
+    rng = random.Random(8)
+    letters = "aeinrst.,'-1éüßñç" + "ẍ你"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 16))) for _ in range(3000)] + ["a" * 400, "=" * 99]
+    fast = [key for key in keys if both.fast(key)]
+    assert 1000 < len(fast) < len(keys)
+    chunks = [" " + key for key in fast] + ["\n" + key for key in fast]
+    found = both.piece_of[both.fast_b.encode_ordinary("".join(chunks))].tolist()
+    assert found == [i for ids in both.ids_b(chunks) for i in ids]
