@@ -58,6 +58,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``cut_lineage`` wrote, once nothing reads it any more.
+
+    Only folders of its own below the shared folder are removed; the folder is reached
+    through Spark, so it may lie in any store.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        own = f"{shared_dir(spark)}/cut-"
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("cut-") and own.split(":", 1)[-1] in folder:
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: Set to "true" for merchants too many to be broadcast (``kpis.join_merchants``).
 MANY_MERCHANTS = "merchantlens.manyMerchants"
 
