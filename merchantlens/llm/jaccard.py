@@ -31,6 +31,7 @@ their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from xxhash import xxh64_intdigest
 
 from merchantlens.llm.frames import carried
-from merchantlens.session import cut_lineage
+from merchantlens.session import cut_lineage, discard
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 BUCKETS = 1 << 16
@@ -242,28 +243,54 @@ def _next_ones(lists: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     return heavy.toDF("a", "b").unionAll(light.toDF("a", "b"))
 
 
+def _size_band(rule: Rule, n: Column) -> Column:
+    """Sets that link lie in the same band of sizes or in neighbouring ones."""
+    width = math.log(rule.denominator / rule.numerator) * (1 + 1e-6)  # a little more, for rounding
+    return F.floor(F.log(n.cast("double")) / width).cast("int")
+
+
 def _across(lists: DataFrame, roots: DataFrame, rule: Rule, boundary: int) -> DataFrame:
-    """Candidates (a, b) of one list but different components."""
+    """Candidates (a, b) of one list but different components.
+
+    Entries meet if their sizes lie in neighbouring bands; long lists are cut into parts, and
+    each pair of parts is a key of its own.
+    """
     scanned = lists.where("pos >= 0").join(roots, "cid", "left")
     scanned = scanned.withColumn("root", F.coalesce("root", "cid"))
     by_root = scanned.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
     main = by_root.groupBy("token").agg(
-        F.max_by("root", "rows").alias("main"), F.count(F.lit(1)).alias("roots")
+        F.max_by("root", "rows").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("rows").alias("length")
     )
     scanned = scanned.join(main.where("roots > 1").drop("roots"), "token")
-    entry = F.struct("cid", "n", "pos", "bits", "root", "main")
-    left = scanned.where("root <> main").select("token", entry.alias("x"))
-    right = scanned.select("token", entry.alias("y"))
+    parts = F.ceil(F.col("length") / LIST_ROWS).cast("int")
+    scanned = scanned.select(
+        "token",
+        F.struct("cid", "n", "pos", "bits", "root", "main").alias("entry"),
+        _size_band(rule, F.col("n")).alias("band"),
+        F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"),
+        F.sequence(F.lit(0), parts - 1).alias("parts"),
+    )
+    left = scanned.where("entry.root <> entry.main").select(
+        "token", F.col("entry").alias("x"), "band", F.col("part").alias("mine"), F.explode("parts").alias("theirs")
+    )
+    near = F.array(*[F.col("band") + step for step in (-1, 0, 1)])
+    right = scanned.select(
+        "token", F.col("entry").alias("y"), F.explode(near).alias("band"), F.col("part").alias("theirs"), "parts"
+    ).select("token", "y", "band", "theirs", F.explode("parts").alias("mine"))
     x, y = F.col("x"), F.col("y")
     apart = (x["root"] != y["root"]) & ((y["root"] == y["main"]) | (x["cid"] < y["cid"]))
-    met = left.join(right, "token").where(apart & _heavy(boundary, x, y) & _possible(rule, x, y))
+    met = left.join(right, ["token", "band", "mine", "theirs"])
+    met = met.where(apart & _heavy(boundary, x, y) & _possible(rule, x, y))
     return met.select(x["cid"].alias("a"), y["cid"].alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The candidates that link."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.where("a <> b").distinct()
+def _verified(candidates: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The candidates that link; only texts of their classes are read and moved."""
+    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut_lineage(pairs.where("a <> b").distinct())
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    involved = involved.join(classes.select("cid", F.col("first").alias("key")), "cid")
+    texts = cut_lineage(_of_class(rows.join(involved, "key").select("cid", "text"), rule))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,30 +302,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 links.append(shared >= rule.needed(len(p), len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    return cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    links = cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    discard(pairs, texts)
+    return links
+
+
+def _to_roots(low: DataFrame) -> DataFrame:
+    """(cid, up) with every id led to the end of its way, which only goes down; by doubling."""
+    while True:
+        onward = low.toDF("up", "top")
+        found = cut_lineage(low.join(onward, "up", "left").select("cid", "up", "top"))
+        discard(low)
+        if found.where("top IS NOT NULL").isEmpty():
+            return found.select("cid", "up")
+        low = cut_lineage(found.select("cid", F.coalesce("top", "up").alias("up")))
+        discard(found)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(cid, root): one id for all ids that links join, for every id that has a link.
 
-    Each round maps an id to its smallest neighbour's smallest neighbour and replaces the
-    links by those between the ids mapped to, so links within a component disappear and
-    each round reads fewer.  Links and mapping are written every round.
+    Each round leads an id to its smallest neighbour, that one to its own and so on to the
+    end, and replaces the links by those between the ends; links within a component
+    disappear.  An id that is not smaller than all its neighbours is no end, so a round
+    leaves at most half of the ids: with n ids there are at most log2(n) rounds of at most
+    log2(n) doublings.  What a round has written is removed when the next one has read it.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = cut_lineage(edges.where("a <> b"))
     ids = edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     roots = cut_lineage(ids.withColumn("root", F.col("cid")))
     while not edges.isEmpty():
-        low = edges.groupBy("b").agg(F.min("a").alias("up")).toDF("cid", "up")
-        higher = low.toDF("up", "top")
-        low = cut_lineage(low.join(higher, "up", "left").select("cid", F.coalesce("top", "up").alias("up")))
-        roots = roots.join(low.toDF("root", "up"), "root", "left")
-        roots = cut_lineage(roots.select("cid", F.coalesce("up", "root").alias("root")))
+        low = _to_roots(cut_lineage(edges.groupBy("b").agg(F.min("a").alias("up")).toDF("cid", "up")))
+        told = roots.join(low.toDF("root", "up"), "root", "left")
+        told = cut_lineage(told.select("cid", F.coalesce("up", "root").alias("root")))
+        ends = edges
         for end in ("a", "b"):
-            edges = edges.join(low.toDF(end, "up"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = cut_lineage(edges.distinct())
+            ends = ends.join(low.toDF(end, "up"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+        ends = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        ends = cut_lineage(ends.distinct())
+        discard(edges, roots, low)
+        edges, roots = ends, told
+    discard(edges)
     return roots
 
 
@@ -317,23 +362,23 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule =
     classes = described.where("key IS NOT NULL AND n > 0").groupBy("cid").agg(
         F.min("key").alias("first"), F.any_value("bits").alias("bits")
     )
-    entries = _listed(rows.where("key IS NOT NULL"), rule, rank, boundary)
+    entries = cut_lineage(_listed(rows.where("key IS NOT NULL"), rule, rank, boundary))
     shared = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("classes"), F.min("cid").alias("low"), F.max("cid").alias("high")
     )
     shared = shared.where("low <> high").select("token", "classes")
     lists = entries.join(shared, "token").dropDuplicates(["token", "cid", "n", "pos"])
     lists = cut_lineage(lists.join(classes.select("cid", "bits"), "cid"))
+    discard(entries)
 
-    involved = lists.select("cid").distinct().join(classes.select("cid", "first"), "cid")
-    found = rows.join(involved.withColumnRenamed("first", "key"), "key").select("cid", "text")
-    texts = cut_lineage(_of_class(found, rule))
-
-    links = _verified(_next_ones(lists, rule, boundary), texts, rule)
+    links = _verified(_next_ones(lists, rule, boundary), rows, classes, rule)
     roots = components(links)
-    more = _verified(_across(lists, roots, rule, boundary), texts, rule)
+    more = _verified(_across(lists, roots, rule, boundary), rows, classes, rule)
     if not more.isEmpty():
-        roots = components(links.unionAll(more))
+        again = components(links.unionAll(more))
+        discard(roots)
+        roots = again
+    discard(lists, links, more)
 
     first = classes.join(roots, "cid", "left").select(
         "cid", F.coalesce("root", "cid").alias("root"), "first"
