@@ -7,11 +7,13 @@ stable, that is, whatever may follow.  It keeps at most a window of text:
   could begin one.
 * Between them, a space after a non-space and before a non-space always begins a
   new word (one character of lookahead), so the words before the last such space
-  are stable.  Words are memoised; a full memo is emptied.
+  are stable.  Words are memoised; the memo is bounded by bytes and dropped with its task.
 * A run without such a space longer than ``WINDOW`` characters goes through
   ``WindowedMerges``, which merges a window of bytes and emits the tokens that end
   at least ``lookahead`` bytes before its end.
 
+Every text takes this way, whatever its length.
+
 ``sufficient_lookahead`` finds that number from the merge list.  Let two texts share
 their first p bytes.  At first all tokens before d = p are equal and end there in
 both.  A rule moves d to the left only if the token on its left is the rule's left
@@ -34,7 +36,7 @@ import codecs
 import hashlib
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -45,10 +47,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from merchantlens.llm.frames import carried
 
-#: Characters taken from a text at a time, and memoised words (each a few hundred bytes).
+#: Characters taken from a text at a time, and those of a run without a sure space that are merged as one word.
 PIECE = 1 << 16
-WINDOW = 1 << 12
-MEMO = 400_000
+WINDOW = 1 << 9
+#: Bytes that a task's memo may take, those of a word or chunk, those of a letter with its share of
+#: ids, and new chunks that are learned at a time.
+MEMO_BYTES, WORD_BYTES, LETTER_BYTES, LEARNED = 96 << 20, 150, 3, 100_000
 #: Texts whose new words are merged in one go.
 TEXTS = 256
 #: The word pattern of this family of vocabularies.
@@ -249,17 +253,30 @@ class Lockstep:
             rank[each, size - 1] = self.none
 
 
+@lru_cache(maxsize=2)
+def lockstep(vocabulary: Vocabulary) -> Lockstep:
+    return Lockstep(vocabulary)
+
+
+def _make_room(memo: dict, used: int, new: Collection[str]) -> int:
+    """Empty a memo that the new entries would make too large; the bytes it then takes."""
+    more = WORD_BYTES * len(new) + LETTER_BYTES * sum(map(len, new))
+    if used + more > MEMO_BYTES // 2:
+        memo.clear()
+        used = 0
+    return used + more
+
+
 class _Words(dict):
     """The packed ids of a word; computed when missing."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.lockstep = vocabulary, Lockstep(vocabulary)
+        self.vocabulary, self.lockstep, self.used = vocabulary, lockstep(vocabulary), 0
 
     def learn(self, words: set[str]) -> None:
         new = [(word, data) for word in words if word not in self and len(data := word.encode()) <= 64]
-        if len(self) + len(new) > MEMO:
-            self.clear()
+        self.used = _make_room(self, self.used, [word for word, _ in new])
         self.update(zip((w for w, _ in new), self.lockstep.merge([d for _, d in new]), strict=True))
 
     def __missing__(self, word: str) -> bytes:
@@ -272,14 +289,13 @@ class _Chunks(dict):
 
     def __init__(self, words: _Words):
         super().__init__()
-        self.words = words
+        self.words, self.used = words, 0
 
     def learn(self, chunks: set[str]) -> None:
         """Learn a bounded set of chunks, their words in lockstep."""
         new = {chunk: _WORDS.findall(" " + chunk) for chunk in chunks if chunk not in self and len(chunk) <= 64}
         self.words.learn({word for found in new.values() for word in found})
-        if len(self) + len(new) > MEMO:
-            self.clear()
+        self.used = _make_room(self, self.used, new)
         ids = self.words.__getitem__
         for chunk, found in new.items():
             self[chunk] = b"".join(map(ids, found))
@@ -316,7 +332,7 @@ class Encoder:
         for text in texts:
             for start in range(0, len(text), PIECE):
                 new.update(text[start : start + PIECE].split(" "))
-                if len(new) > MEMO // 4:
+                if len(new) > LEARNED:
                     self.chunks.learn(new)
                     new = set()
         self.chunks.learn(new)
@@ -401,9 +417,6 @@ class Encoder:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Packed ids of a whole text, piece by piece."""
-        if len(text) <= PIECE and not self.special.search(text):
-            yield self._whole(text)
-            return
         for start in range(0, len(text), PIECE):
             yield from self.feed(text[start : start + PIECE])
         yield from self.finish()
@@ -411,7 +424,7 @@ class Encoder:
 
 def _simple(text: str) -> bool:
     """Whether each space of a text begins a word: then it can be split at spaces."""
-    return not (_ODD_SPACE.search(text) or text[0] == " " or text[-1] == " ")
+    return not (_ODD_SPACE.search(text) or text[-1] == " ")
 
 
 class Decoder:
@@ -433,10 +446,14 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One in a Python worker; it is as large as its file, whatever is encoded."""
+    return Vocabulary(path)
+
+
 def coder(path: str) -> tuple[Encoder, Decoder]:
-    """One of each in a Python worker; their memos last from task to task."""
-    vocabulary = Vocabulary(path)
-    return Encoder(vocabulary), Decoder(vocabulary)
+    """One of each for a task, with memos of its own."""
+    return Encoder(vocabulary(path)), Decoder(vocabulary(path))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], path: str, each) -> Iterator[pa.RecordBatch]:

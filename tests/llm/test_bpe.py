@@ -69,3 +69,70 @@ def test_operator_on_odd_rows(spark, documents, library):
     back = bpe.decode(encoded.select("row.doc_id", "ids"), PATH).collect()
     assert {r.row.doc_id: r.text for r in back} == {k: t or "" for k, t in rows}
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def needed_lookahead(rules, most):
+    """How far before its end a shared beginning is no longer the same, over all short texts."""
+    merges = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(rules)}
+    spelled = {0: "a", 1: "b"}
+    for a, b, made in rules:
+        spelled[made] = spelled[a] + spelled[b]
+    worst = 0
+    for size in range(1, most - 3):
+        for n in range(2**size):
+            start = [n >> at & 1 for at in range(size)]
+            seen = []
+            for extra in range(5):
+                for m in range(2**extra):
+                    ids, end, found = bpe.merge(start + [m >> at & 1 for at in range(extra)], merges), 0, []
+                    for i in ids:
+                        end += len(spelled[i])
+                        found.append((end, i))
+                    seen.append(found)
+            same = 0
+            for tokens in zip(*seen, strict=False):
+                if len(set(tokens)) > 1 or tokens[0][0] > size:
+                    break
+                same = tokens[0][0]
+            ends = [end for found in seen for end, _ in found if same < end <= size]
+            # A token that ends this far before the end of what is shared is not the same everywhere.
+            worst = max([worst, *(size - end + 1 for end in ends)])
+    return worst
+
+
+def test_sufficient_lookahead_against_brute_force():
+    rng = random.Random(12)
+    most = 0
+    for _ in range(40):
+        spelled, rules = {0: "a", 1: "b"}, []
+        for made in range(2, 2 + rng.randint(1, 5)):
+            left, right = rng.choice(list(spelled)), rng.choice(list(spelled))
+            if spelled[left] + spelled[right] not in spelled.values():
+                spelled[made] = spelled[left] + spelled[right]
+                rules.append((left, right, made))
+        bound = bpe.sufficient_lookahead(rules, {i: len(t) for i, t in spelled.items()})
+        needed = needed_lookahead(rules, 10)
+        assert needed <= bound, rules
+        most = max(most, needed)
+    assert most > 1
+
+
+def test_short_texts_take_the_transducer(monkeypatch):
+    encoder = bpe.coder(PATH)[0]
+    fed = []
+    feed = encoder.feed
+    monkeypatch.setattr(encoder, "feed", lambda text: fed.append(text) or feed(text))
+    assert b"".join(encoder.encode("a short text")) and fed == ["a short text"]
+
+
+def test_memos_are_bounded_and_forgotten(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    encoder = bpe.coder(PATH)[0]
+    for n in range(0, 3000, 100):
+        found = [f"word{m} other{m}, and{m}" for m in range(n, n + 100)]
+        encoder.learn(found)
+        for text in found:
+            ids = np.frombuffer(b"".join(encoder.encode(text)), "<u4").tolist()
+            assert ids == library.encode(text, add_special_tokens=False).ids
+        assert encoder.chunks.used < 200_000 and encoder.words.used < 200_000
+    assert not bpe.coder(PATH)[0].chunks
