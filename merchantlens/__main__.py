@@ -4,7 +4,8 @@
     append     transactions.csv WAREHOUSE
     check      WAREHOUSE
     explore    WAREHOUSE --out DIR
-    forecast   WAREHOUSE [--level Platform|Category|Merchant] [--horizon N] [--baseline]
+    watch      WAREHOUSE --out DIR
+    forecast   WAREHOUSE [--level Platform|Category|Merchant] [--horizon N] [--baseline | --by-error]
     dashboard  WAREHOUSE --start DAY --end DAY [--category C] [--merchant M] --out DIR
     ask        WAREHOUSE --start DAY --end DAY QUESTION...
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from merchantlens.functions import rules
 from merchantlens.functions.dates import Period
 from merchantlens.operators.filters import Filters
-from merchantlens.plans import dashboard, explore, forecasting, load
+from merchantlens.plans import dashboard, explore, forecasting, load, watch
 from merchantlens.sources import readers, writers
 from merchantlens.sources.local import constant_table
 
@@ -50,11 +51,13 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     job("append", "transactions", "warehouse")
     job("check", "warehouse")
     job("explore", "warehouse")
+    job("watch", "warehouse")
     forecast = job("forecast", "warehouse")
     forecast.add_argument("--level", default="Platform")
     forecast.add_argument("--horizon", type=int, default=rules.HORIZON)
     forecast.add_argument("--trees", type=int, default=100)
     forecast.add_argument("--baseline", action="store_true")
+    forecast.add_argument("--by-error", action="store_true")
     job("dashboard", "warehouse", selection=True)
     job("ask", "warehouse", selection=True).add_argument("questions", nargs="+")
     return parser.parse_args(argv)
@@ -91,6 +94,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             args.level,
             args.horizon,
             use_trees=not args.baseline,
+            by_error=args.by_error,
             trees=args.trees,
         )
         deliver({"forecasts": stored.orderBy("series_key", "target_date")}, args.out)
@@ -100,6 +104,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "explore":
         deliver(explore.explore(daily, txns, merchants), args.out)
         return
+    if args.job == "watch":
+        deliver(watch.watch(daily, txns, merchants), args.out)
+        return
     chosen = Filters(Period.of(args.start, args.end), args.category, args.merchant)
     if args.job == "ask":
         asked = constant_table(spark, [(q,) for q in args.questions], QUESTION)

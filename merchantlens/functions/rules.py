@@ -24,14 +24,8 @@ FEE_RATES: dict[str, Decimal] = {
 }
 OTHER_FEE_RATE = Decimal("0.018")
 
-# --- Fixed values: seasonal multipliers --------------------------------------
-WEEKDAY_HEAVY_CATEGORIES = ("SaaS", "Education", "Financial Services")
-WEEKDAY_HEAVY = (1.2, 0.5)  # Monday-Friday, weekend
-WEEKEND_HEAVY = (0.9, 1.3)  # Monday-Friday, weekend
-SALARY_FIRST_DAYS = 5
-SALARY_LAST_DAYS = 25
-SALARY_WEEK = (1.2, 0.9)  # inside, outside
-FESTIVE_MONTHS: dict[int, float] = {10: 1.4, 11: 1.4, 12: 1.2}
+# --- Fixed values: payment methods --------------------------------------------
+PAYMENT_METHODS = ("UPI", "Credit Card", "Debit Card", "Net Banking", "Wallet")
 
 
 @dataclass(frozen=True)

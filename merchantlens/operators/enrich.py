@@ -1,11 +1,11 @@
-"""Row-level business rules: fees, settlement, seasonality, events (K1-K4)."""
+"""Row-level business rules: fees, settlement, events (K1, K2, K4)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from merchantlens.functions import numbers, rules
 from merchantlens.schemas import MONEY
@@ -60,45 +60,6 @@ def settle(
     )
 
 
-def _two_way(condition: Column, values: tuple[float, float]) -> Column:
-    return F.when(condition, F.lit(values[0])).otherwise(F.lit(values[1]))
-
-
-def seasonal_index(
-    days: DataFrame, day: str = "agg_date", category: str = "business_category"
-) -> DataFrame:
-    """K3: the seasonal multipliers of a category-day next to what was observed.
-
-    ``days`` has one row per category and day with ``total_transactions``.  The
-    observed index is its share of the category's mean day.
-    """
-    when = F.col(day)
-    workday = ~F.weekday(when).isin(5, 6)
-    weekly = F.when(
-        F.col(category).isin(*rules.WEEKDAY_HEAVY_CATEGORIES),
-        _two_way(workday, rules.WEEKDAY_HEAVY),
-    ).otherwise(_two_way(workday, rules.WEEKEND_HEAVY))
-    day_of_month = F.dayofmonth(when)
-    salary = _two_way(
-        (day_of_month <= rules.SALARY_FIRST_DAYS) | (day_of_month >= rules.SALARY_LAST_DAYS),
-        rules.SALARY_WEEK,
-    )
-    festive = F.lit(1.0)
-    for month, mult in rules.FESTIVE_MONTHS.items():
-        festive = F.when(F.month(when) == month, F.lit(mult)).otherwise(festive)
-    usual = F.avg("total_transactions").over(Window.partitionBy(category))
-    return days.select(
-        category,
-        day,
-        "total_transactions",
-        weekly.alias("weekly_mult"),
-        salary.alias("monthly_mult"),
-        festive.alias("festive_mult"),
-        (weekly * salary * festive).alias("expected_index"),
-        F.try_divide(F.col("total_transactions").cast("double"), usual).alias("observed_index"),
-    )
-
-
 EFFECTS = T.StructType(
     [
         T.StructField("volume_mult", T.DoubleType()),

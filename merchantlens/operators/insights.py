@@ -130,3 +130,52 @@ def anomalies(
     return scored.where(flagged).select(
         "series_key", "agg_date", *metrics, *[f"z_{m}" for m in metrics]
     )
+
+
+def payment_mix_anomalies(
+    counts: DataFrame,
+    methods: Sequence[str] = rules.PAYMENT_METHODS,
+    rows: int = rules.HISTORY,
+    beyond: float = 3.0,
+) -> DataFrame:
+    """N1 for payment methods: days whose mix departs from that of the preceding ``rows`` rows.
+
+    ``counts`` has ``series_key``, ``agg_date``, ``payment_method`` and ``total_transactions``
+    and may have several rows a day; other and missing methods count as one.  The mix
+    before, with half a payment added to each method, gives what a day's payments should be.
+    ``chi_square`` is the squared departure over that, ``z_mix`` its distance from the mean
+    of its distribution in standard deviations, ``psi`` the stability index of the two mixes,
+    ``method`` the one that departs most (ties by name).  NULL until the window is full.
+    """
+    names = [f"_{n}" for n in range(len(methods) + 1)]
+    of = [F.col("payment_method").eqNullSafe(method) for method in methods]
+    other = ~F.coalesce(F.col("payment_method").isin(*methods), F.lit(False))
+    sums = [F.sum(F.when(c, F.col("total_transactions")).otherwise(0)) for c in (*of, other)]
+    daily = counts.groupBy("series_key", "agg_date").agg(*[s.alias(n) for s, n in zip(sums, names)])
+    before = by_series().rowsBetween(-rows, -1)
+    full = F.count(F.lit(1)).over(before) == rows
+    daily = daily.withColumns(
+        {f"{n}_q": F.when(full, F.sum(n).over(before) + 0.5) for n in names}
+        | {"total_transactions": sum((F.col(n) for n in names[1:]), F.col(names[0]))}
+    )
+    usual = sum((F.col(f"{n}_q") for n in names[1:]), F.col(f"{names[0]}_q"))
+    total = F.col("total_transactions")
+    seen = total + 0.5 * len(names)
+    chi, psi, departures = F.lit(0.0), F.lit(0.0), []
+    for label, name in zip((*methods, "Other"), names):
+        q = F.col(f"{name}_q") / usual
+        p = (F.col(name) + 0.5) / seen
+        departure = (F.col(name) - total * q) * (F.col(name) - total * q) / (total * q)
+        chi, psi = chi + departure, psi + (p - q) * F.log(p / q)
+        departures.append(F.struct(-F.round(departure, 9), F.lit(label).alias("label")))
+    free = len(names) - 1
+    scored = daily.where(total > 0).select(
+        "series_key",
+        "agg_date",
+        "total_transactions",
+        chi.alias("chi_square"),
+        ((chi - free) / (2.0 * free) ** 0.5).alias("z_mix"),
+        psi.alias("psi"),
+        F.least(*departures)["label"].alias("method"),
+    )
+    return scored.where(F.col("z_mix") > beyond)

@@ -2,7 +2,41 @@
 
 from __future__ import annotations
 
-from merchantlens.functions import rules
+# --- Fixed values: feature names and answer texts, written out so that they check the engine's
+LABELS = {
+    "rolling_avg_30d": "Monthly Sales Momentum",
+    "rolling_avg_7d": "Weekly Sales Momentum",
+    "revenue_lag_7": "Sales from Previous Week",
+    "revenue_lag_1": "Sales from Yesterday",
+    "revenue_lag_30": "Sales from Last Month",
+    "day_of_month": "Payday / Time of Month",
+    "day_of_week": "Day of the Week",
+    "is_weekend": "Weekend Effect",
+    "revenue_lag_14": "Sales from 2 Weeks Ago",
+}
+PAYMENT = (
+    "Based on the currently selected data, **%s** is your most popular payment method, "
+    "accounting for **%s%%** of all transactions. I recommend ensuring your %s checkout "
+    "flow is completely frictionless."
+)
+REFUND_HIGH = (
+    "I noticed your refund rate is currently at **%s%%**, which is higher than the platform "
+    "average of 2.5%%. This is negatively impacting your net revenue. The anomaly detection "
+    "system flags spikes primarily on weekends."
+)
+REFUND_HEALTHY = (
+    "Your refund rate is healthy at **%s%%**. I don't see any major anomalies causing revenue "
+    "drops in this period."
+)
+FORECAST = (
+    "Looking ahead %s days, our Gradient Boosting model expects stable growth driven by strong "
+    "monthly momentum. However, expect a slight dip on weekends based on your historical patterns."
+)
+DEFAULT = (
+    "That's a great question about your data. In this specific period, you processed **%s** "
+    "payments totaling **₹%s Cr**. Try asking me specifically about payment methods, refunds, "
+    "or future forecasts!"
+)
 
 MERCHANTS = """merchants AS (
   SELECT c_custkey AS merchant_id, c_name AS merchant_name, c_mktsegment AS business_category,
@@ -287,23 +321,59 @@ FROM ranked WHERE fault IS NOT NULL OR place > 1 GROUP BY ALL"""
 FROM raw"""
         for c in columns
     )
-    sql["seasonal_index"] = f"""WITH {JOINED}, days AS (
+    def factor(kind: str, rows: str, ratio: str) -> str:
+        """Common table ``<kind>``: the factor of each level, from a ratio of the table ``rows``."""
+        return f"""{kind}_mean AS (
+  SELECT business_category, {kind}, avg({ratio}) AS mean FROM {rows} GROUP BY ALL), {kind}_factors AS (
+  SELECT business_category, {kind},
+         coalesce(mean / avg(mean) OVER (PARTITION BY business_category), 1) AS {kind}_factor
+  FROM {kind}_mean)"""
+
+    def centred(value: str, rows: int) -> str:
+        window = f"""OVER (PARTITION BY business_category ORDER BY agg_date
+    ROWS BETWEEN {rows // 2} PRECEDING AND {rows // 2} FOLLOWING)"""
+        return f"{value} / CASE WHEN count({value}) {window} = {rows} THEN avg({value}) {window} END"
+
+    decomposed = f"""{JOINED}, days AS (
   SELECT business_category, agg_date, CAST(sum(total) AS BIGINT) AS total_transactions,
-         CASE WHEN business_category IN ('SaaS', 'Education', 'Financial Services')
-              THEN CASE WHEN isodow(agg_date) < 6 THEN CAST(1.2 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END
-              ELSE CASE WHEN isodow(agg_date) < 6 THEN CAST(0.9 AS DOUBLE) ELSE CAST(1.3 AS DOUBLE) END
-         END AS weekly_mult,
-         CASE WHEN day(agg_date) <= 5 OR day(agg_date) >= 25 THEN CAST(1.2 AS DOUBLE)
-              ELSE CAST(0.9 AS DOUBLE) END AS monthly_mult,
-         CASE WHEN month(agg_date) IN (10, 11) THEN CAST(1.4 AS DOUBLE)
-              WHEN month(agg_date) = 12 THEN CAST(1.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END
-           AS festive_mult
-  FROM joined GROUP BY business_category, agg_date)
-SELECT * REPLACE ({day_text('agg_date')} AS agg_date),
-       round(weekly_mult * monthly_mult * festive_mult, 6) AS expected_index,
-       round(total_transactions / avg(total_transactions) OVER (PARTITION BY business_category), 6)
-         AS observed_index
-FROM days"""
+         CAST(sum(total) AS DOUBLE) AS y, CAST(isodow(agg_date) - 1 AS INTEGER) AS weekday,
+         CAST(day(agg_date) AS INTEGER) AS day_of_month, CAST(month(agg_date) AS INTEGER) AS month
+  FROM joined GROUP BY business_category, agg_date), timed AS (
+  SELECT *, date_diff('day', min(agg_date) OVER (PARTITION BY business_category), agg_date) AS t
+  FROM days), line AS (
+  SELECT business_category, regr_slope(y, t) AS slope, avg(y) AS level, avg(t) AS middle
+  FROM timed GROUP BY business_category), trended AS (
+  SELECT timed.*, slope, level, level + slope * (t - middle) AS trend
+  FROM timed JOIN line USING (business_category)), week AS (
+  SELECT *, {centred('y', 7)} AS ratio FROM trended),
+{factor('weekday', 'week', 'ratio')}, week_out AS (
+  SELECT trended.*, weekday_factor, y / weekday_factor AS v
+  FROM trended JOIN weekday_factors USING (business_category, weekday)), month_ratio AS (
+  SELECT *, {centred('v', 35)} AS ratio FROM week_out),
+{factor('day_of_month', 'month_ratio', 'ratio')}, month_out AS (
+  SELECT week_out.*, day_of_month_factor, v / day_of_month_factor / trend AS ratio
+  FROM week_out JOIN day_of_month_factors USING (business_category, day_of_month)),
+{factor('month', 'month_out', 'ratio')}, decomposed AS (
+  SELECT month_out.*, month_factor, weekday_factor * day_of_month_factor * month_factor AS expected,
+         y / trend AS observed
+  FROM month_out JOIN month_factors USING (business_category, month))"""
+    sql["seasonal_index"] = f"""WITH {decomposed}
+SELECT business_category, {day_text('agg_date')} AS agg_date, total_transactions,
+       round(weekday_factor, 6) AS weekly_mult, round(day_of_month_factor, 6) AS monthly_mult,
+       round(month_factor, 6) AS festive_mult, round(expected, 6) AS expected_index,
+       round(observed, 6) AS observed_index
+FROM decomposed"""
+    sql["seasonal_decomposition"] = f"""WITH {decomposed}
+SELECT business_category, {day_text('agg_date')} AS agg_date, total_transactions,
+       round(trend, 6) AS trend, round(observed / expected, 6) AS irregular,
+       round(slope * 365 / level, 6) AS annual_growth
+FROM decomposed"""
+    sql["seasonal_factors"] = f"WITH {decomposed}\n" + " UNION ALL ".join(
+        f"""SELECT business_category, '{kind}' AS kind, {kind} AS level,
+       round(min({kind}_factor), 6) AS factor, count(*) AS days
+FROM decomposed GROUP BY business_category, {kind}"""
+        for kind in ("weekday", "day_of_month", "month")
+    )
     sql["event_effect"] = f"""WITH {TXNS}, observed AS (
   SELECT agg_date, payment_method, count(*) AS total,
          count(*) FILTER (payment_status = 'Failed') AS fail,
@@ -483,7 +553,7 @@ FROM predicted"""
 SELECT {forecast_rows(level)}, {place} FROM predicted)"""
         for series, level in ((CATEGORY_SERIES, "Category"), (PLATFORM_SERIES, "Platform"))
     )
-    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.FEATURE_LABELS.items())
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
     names = (
         "day_of_week day_of_month month is_weekend revenue_lag_1 revenue_lag_7 revenue_lag_14 "
         "revenue_lag_30 rolling_avg_7d rolling_avg_30d"
@@ -537,6 +607,53 @@ SELECT series_key, {day_text('target_date')} AS target_date, '{level}' AS foreca
        round(p * CAST(1.15 AS DOUBLE), 2) AS confidence_upper
 FROM steps WHERE n > 0"""
 
+    def choice(series: str, origins: int, step: int, horizon: int) -> str:
+        """Common tables up to ``choice``: the errors at rolling origins and the better model."""
+        return f"""{series.replace('series AS (', 'whole AS (')}, aged AS (
+  SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY agg_date DESC) AS age FROM whole),
+origins AS (
+  SELECT origin || ':' || series_key AS series_key, series_key AS own, agg_date, net_revenue,
+         age - origin * {step} - {horizon} AS before
+  FROM aged, (SELECT unnest(range({origins})) AS origin)
+  WHERE age - origin * {step} - {horizon} BETWEEN {1 - horizon} AND 30),
+series AS (SELECT series_key, agg_date, net_revenue FROM origins WHERE before > 0),
+{LINEAR_STEPS}, base AS (
+  SELECT series_key, max(agg_date) AS last_date,
+         CASE WHEN count(net_revenue) = 30 THEN avg(net_revenue) END AS base
+  FROM series GROUP BY series_key), held AS (
+  SELECT o.own, o.net_revenue AS actual, s.p AS linear,
+         base * CASE WHEN isodow(last_date + 1 - before) >= 6 THEN CAST(0.8 AS DOUBLE)
+                     ELSE CAST(1.1 AS DOUBLE) END AS plain
+  FROM (SELECT * REPLACE (before::INTEGER AS before) FROM origins WHERE before <= 0) o
+  JOIN base USING (series_key) JOIN steps s ON s.series_key = o.series_key AND s.n = 1 - before),
+errors AS (
+  SELECT own, count(abs((actual - plain) / nullif(actual, 0))) AS days_baseline,
+         count(abs((actual - linear) / nullif(actual, 0))) AS days_model,
+         avg(abs((actual - plain) / nullif(actual, 0))) AS mape_baseline,
+         avg(abs((actual - linear) / nullif(actual, 0))) AS mape_model
+  FROM held GROUP BY own), choice AS (
+  SELECT k.series_key, coalesce(days_baseline, 0) AS days_baseline, coalesce(days_model, 0) AS days_model,
+         mape_baseline, mape_model,
+         CASE WHEN mape_model IS NOT NULL AND (mape_baseline IS NULL OR mape_model < mape_baseline)
+              THEN 'Linear' ELSE 'Baseline_EWMA' END AS model_name
+  FROM (SELECT DISTINCT series_key FROM whole) k LEFT JOIN errors ON own = k.series_key)"""
+
+    sql["model_choice"] = f"""WITH RECURSIVE {choice(CATEGORY_SERIES, 3, 10, 10)}
+SELECT * REPLACE (round(mape_baseline, 6) AS mape_baseline, round(mape_model, 6) AS mape_model) FROM choice"""
+    banded = f"""{day_text('target_date')} AS target_date, 'Merchant' AS forecast_level, series_key,
+       model_name, round(p, 2) AS predicted_revenue, round(p * (1 - band), 2) AS confidence_lower,
+       round(p * (1 + band), 2) AS confidence_upper"""
+    sql["chosen_forecast"] = f"""WITH chosen AS (
+  SELECT series_key, model_name FROM (WITH RECURSIVE {choice(MERCHANT_SERIES, 2, 3, 3)} SELECT * FROM choice)),
+linear AS (
+  SELECT series_key, target_date, p, 0.15::DOUBLE AS band
+  FROM (WITH RECURSIVE {MERCHANT_SERIES}, {LINEAR_STEPS} SELECT * FROM steps WHERE n BETWEEN 1 AND 7)),
+plain AS (
+  SELECT series_key, target_date, predicted_revenue AS p, 0.2::DOUBLE AS band
+  FROM (WITH {MERCHANT_SERIES}, {baseline(7)} SELECT * FROM predicted)), every AS (
+  SELECT *, 'Linear' AS model_name FROM linear UNION ALL SELECT *, 'Baseline_EWMA' FROM plain)
+SELECT {banded} FROM every JOIN chosen USING (series_key, model_name)"""
+
     # --- Alerts and answers
     sql["refund_alerts"] = f"""WITH {DAILY}, months AS (
   SELECT date_trunc('month', agg_date) AS month, CAST(sum(total) AS BIGINT) AS total_transactions,
@@ -554,17 +671,17 @@ FROM months WHERE refund_rate > 4.0"""
          {pct('sum(ref)', 'sum(total)')} AS refund_rate
   FROM joined WHERE {IN_PERIOD})
 SELECT conv_id, turn, intent, CASE intent
-  WHEN 'payment' THEN {answer(rules.ANSWER_PAYMENT, method, share, method)}
+  WHEN 'payment' THEN {answer(PAYMENT, method, share, method)}
   WHEN 'refund' THEN CASE WHEN refund_rate > 3.0
-    THEN {answer(rules.ANSWER_REFUND_HIGH, refund)}
-    ELSE {answer(rules.ANSWER_REFUND_HEALTHY, refund)} END
-  WHEN 'forecast' THEN {answer(rules.ANSWER_FORECAST, "'30'")}
-  ELSE {answer(rules.ANSWER_DEFAULT, "format('{:,}', total_txns)",
+    THEN {answer(REFUND_HIGH, refund)}
+    ELSE {answer(REFUND_HEALTHY, refund)} END
+  WHEN 'forecast' THEN {answer(FORECAST, "'30'")}
+  ELSE {answer(DEFAULT, "format('{:,}', total_txns)",
                "printf('%.2f', round(total_rev / 1e7, 2))")} END AS answer
 FROM routed, kpi, top"""
     sql["question_answers_empty"] = f"""WITH {ROUTED}
 SELECT conv_id, turn, intent, 'No data found for the selected filters.' AS answer FROM routed"""
-    one = "merchant_name = 'Customer#000000040'"
+    one = "merchant_name = 'Customer#000001443'"
     sql["headline_merchant"] = f"""WITH {JOINED}
 SELECT CAST(sum(net) AS DOUBLE) AS total_rev, CAST(sum(total) AS BIGINT) AS total_txns,
        {pct('sum(succ)', 'sum(total)')} AS success_rate,
@@ -592,6 +709,45 @@ LEFT JOIN daily ON daily.merchant_id = m.merchant_id AND daily.agg_date = days.a
        {', '.join(f'round(z_{m}, 6) AS z_{m}' for m in metrics)}
 FROM scored WHERE {' OR '.join(f'abs(z_{m}) > 3' for m in metrics)}"""
 
+    methods = ("UPI", "Credit Card", "Debit Card", "Net Banking", "Wallet", "Other")
+
+    def mix_anomalies(rows: str) -> str:
+        """Over ``rows``: series_key, agg_date, payment_method, total."""
+        sums = ", ".join(f"sum(total) FILTER (method = '{m}') AS c{n}" for n, m in enumerate(methods))
+        filled = ", ".join(f"coalesce(c{n}, 0) AS c{n}" for n in range(6))
+        before = ", ".join(f"sum(c{n}) OVER w + 0.5::DOUBLE AS b{n}" for n in range(6))
+        each = [f"(c{n} - n * b{n} / usual) * (c{n} - n * b{n} / usual) / (n * b{n} / usual)" for n in range(6)]
+        psi = " + ".join(
+            f"((c{n} + 0.5::DOUBLE) / (n + 3) - b{n} / usual)"
+            f" * ln(((c{n} + 0.5::DOUBLE) / (n + 3)) / (b{n} / usual))"
+            for n in range(6)
+        )
+        listed = ", ".join(f"{{'d': round({d}, 9), 'm': '{m}'}}" for d, m in zip(each, methods))
+        return f"""named AS (
+  SELECT *, CASE WHEN payment_method IN {methods[:5]} THEN payment_method ELSE 'Other' END AS method
+  FROM {rows}), sums AS (SELECT series_key, agg_date, {sums} FROM named GROUP BY ALL), filled AS (
+  SELECT series_key, agg_date, {filled} FROM sums), windowed AS (
+  SELECT *, c0 + c1 + c2 + c3 + c4 + c5 AS n, {before}, count(*) OVER w AS depth FROM filled
+  WINDOW w AS ({Z_WINDOW})), totals AS (
+  SELECT *, b0 + b1 + b2 + b3 + b4 + b5 AS usual FROM windowed WHERE depth = 30), scored AS (
+  SELECT *, {' + '.join(each)} AS chi, {psi} AS psi, [{listed}] AS departures FROM totals)
+SELECT series_key, {day_text('agg_date')} AS agg_date, CAST(n AS BIGINT) AS total_transactions,
+       round(chi, 6) AS chi_square, round((chi - 5) / sqrt(10::DOUBLE), 6) AS z_mix,
+       round(psi, 6) AS psi,
+       list_sort(list_transform(departures, lambda x: {{'d': -x.d, 'm': x.m}}))[1].m AS method
+FROM scored WHERE (chi - 5) / sqrt(10::DOUBLE) > 3"""
+
+    sql["payment_mix_anomalies"] = f"""WITH {TXNS}, counted AS (
+  SELECT 'Platform' AS series_key, agg_date, payment_method, 1 AS total FROM txns),
+{mix_anomalies('counted')}"""
+    sql["payment_mix_anomalies_category"] = f"""WITH {TXNS}, {MERCHANTS}, counted AS (
+  SELECT business_category AS series_key, agg_date, payment_method, 1 AS total
+  FROM txns JOIN merchants USING (merchant_id)),
+{mix_anomalies('counted')}"""
+
+    sql["headline_sql"] = sql["headline_merchant"]
+    sql["revenue_series_sql"] = sql["revenue_series"]
+
     # --- Sources and sinks
     sql["stored_daily"] = f"WITH {DAILY}\n{trend} WHERE {IN_PERIOD} GROUP BY daily.agg_date"
     sql["appended_transactions"] = sql["platform_trend"]
@@ -601,5 +757,7 @@ FROM ({sql['daily_kpis']})"""
     sql["refreshed_daily"] = sql["csv_transactions"]
     sql["csv_merchants"] = f"""WITH {MERCHANTS}
 SELECT CAST(merchant_id AS VARCHAR) AS merchant_id, merchant_name, business_category, business_size,
-       CAST(NULL AS VARCHAR) AS onboarding_date FROM merchants"""
+       CASE WHEN merchants.merchant_id % 7 <> 0 THEN strftime(
+         DATE '2022-01-01' + CAST(merchants.merchant_id % 365 AS INTEGER), '%Y-%m-%d') END AS onboarding_date
+FROM merchants"""
     return sql

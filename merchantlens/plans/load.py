@@ -11,6 +11,7 @@ from merchantlens import schemas
 from merchantlens.functions import dates
 from merchantlens.operators import gate, kpis, quality
 from merchantlens.operators.features import PLATFORM
+from merchantlens.plans import tail
 from merchantlens.session import cut_lineage
 from merchantlens.sources import readers, writers
 from merchantlens.sources.local import constant_table
@@ -59,6 +60,8 @@ def load(spark: SparkSession, merchants_csv: str, transactions_csv: str, root: s
     days = Observation("daily_aggregates")
     daily = kpis.daily_kpis(house.table(spark, "transactions"))
     writers.materialize_daily(daily, house.path("daily_aggregates"), metrics=days)
+    stored = house.table(spark, "daily_aggregates")
+    tail.rebuild(stored, house.table(spark, "merchants"), house.path("series_tail"))
     counts["daily_aggregates"] = days.get["row_count"]
     return constant_table(spark, list(counts.items()), quality.ROW_COUNTS)
 
@@ -98,10 +101,16 @@ def of_months(table: DataFrame, column: str, months: list[date | None]) -> DataF
 
 
 def refresh(spark: SparkSession, root: str, months: list[date | None]) -> None:
-    """Compute the merchant-days of some months again from the stored transactions (A5)."""
+    """Compute the merchant-days of some months again from the stored transactions (A5).
+
+    The table of last rows follows, if there is one.
+    """
     house = Warehouse(root)
     touched = of_months(house.table(spark, "transactions"), "txn_month", months)
     writers.refresh_daily(kpis.daily_kpis(touched), house.path("daily_aggregates"))
+    if tail.read(spark, house.path("series_tail")) is not None:
+        days = of_months(house.table(spark, "daily_aggregates"), "agg_month", months)
+        tail.update(days, house.table(spark, "merchants"), house.path("series_tail"))
 
 
 def check(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from merchantlens import schemas
 from merchantlens.functions import dates, rules
 from merchantlens.functions.dates import Period
 from merchantlens.operators import (
+    choice,
     enrich,
     features,
     filters as flt,
@@ -20,12 +21,13 @@ from merchantlens.operators import (
     kpis,
     learning,
     quality,
+    seasonal,
     segments,
 )
 from merchantlens.operators.filters import Filters
 from merchantlens.plans import load
 from merchantlens.session import cut_lineage, scratch_path
-from merchantlens.sources import readers, star, writers
+from merchantlens.sources import readers, sql, star, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PERIOD = Period.of("2000-10-01", "2000-12-31")
 LAST_QUARTER = Period.of("2001-05-01", "2001-08-01")
 CATEGORY = "BUILDING"
-MERCHANT_NAME = "Customer#000000040"
+MERCHANT_NAME = "Customer#000001443"
 NO_ROWS = Period.of("2030-01-01", "2030-01-31")
 EVENTS = (
     rules.Event(date(1997, 5, 12), "Gateway outage", volume_mult=0.2),
@@ -231,11 +233,39 @@ def null_rates(spark, sf_dir):
     return quality.null_rates(star.raw_transactions(spark, sf_dir))
 
 
+def _decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seasonal.decompose(kpis.segment_days(_frame(spark, sf_dir), star.merchants(spark, sf_dir)))
+
+
 @query
 def seasonal_index(spark, sf_dir):
-    """K3, for every category-day that traded"""
-    days = kpis.segment_days(_frame(spark, sf_dir), star.merchants(spark, sf_dir))
-    return _rounded(enrich.seasonal_index(days), 6, "expected_index", "observed_index")
+    """K3: the seasonal multipliers of every category-day that traded, and what was observed"""
+    found = _decomposed(spark, sf_dir).select(
+        "business_category",
+        "agg_date",
+        "total_transactions",
+        F.col("weekday_factor").alias("weekly_mult"),
+        F.col("day_of_month_factor").alias("monthly_mult"),
+        F.col("month_factor").alias("festive_mult"),
+        "expected_index",
+        "observed_index",
+    )
+    return _rounded(found, 6, "weekly_mult", "monthly_mult", "festive_mult", "expected_index", "observed_index")
+
+
+@query
+def seasonal_decomposition(spark, sf_dir):
+    """K3: the trend with its growth, and what neither trend nor seasons explain"""
+    found = _decomposed(spark, sf_dir).select(
+        "business_category", "agg_date", "total_transactions", "trend", "irregular", "annual_growth"
+    )
+    return _rounded(found, 6, "trend", "irregular", "annual_growth")
+
+
+@query
+def seasonal_factors(spark, sf_dir):
+    """K3: the factor of each weekday, day of the month and month"""
+    return _rounded(seasonal.factors(_decomposed(spark, sf_dir)), 6, "factor")
 
 
 @query
@@ -600,6 +630,22 @@ def linear_forecast_merchant(spark, sf_dir):
     return _linear_forecast(series, features.MERCHANT)
 
 
+@query
+def model_choice(spark, sf_dir):
+    """The errors of the linear score and the baseline at rolling origins, and the better one"""
+    found = choice.choose(_category_series(spark, sf_dir), _linear, name="Linear")
+    return _rounded(found, 6, "mape_baseline", "mape_model")
+
+
+@query
+def chosen_forecast(spark, sf_dir):
+    """Each merchant forecast by its better model, on short histories"""
+    series = cut_lineage(features.daily_series(_frame(spark, sf_dir), features.MERCHANT))
+    chosen = cut_lineage(choice.choose(series, _linear, origins=2, step=3, horizon=3, name="Linear"))
+    found = choice.run(series, _linear, chosen, 7, features.MERCHANT, name="Linear")
+    return _rounded(found, 2, "predicted_revenue", "confidence_lower", "confidence_upper")
+
+
 @query
 def gbt_forecast(spark, sf_dir):
     """I1, I3, I6, I7"""
@@ -690,6 +736,42 @@ def revenue_anomalies(spark, sf_dir):
     return _rounded(found, 6, "z_net_revenue", "z_failure_rate", "z_refund_rate")
 
 
+def _mix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame(spark, sf_dir).withColumn("series_key", F.lit(features.PLATFORM))
+
+
+@query
+def payment_mix_anomalies(spark, sf_dir):
+    """Days whose payment methods depart from those of the rows before"""
+    found = insights.payment_mix_anomalies(_mix_counts(spark, sf_dir))
+    return _rounded(found, 6, "chi_square", "z_mix", "psi")
+
+
+@query
+def payment_mix_anomalies_category(spark, sf_dir):
+    """N1 for payment methods, in each category"""
+    keys = ["agg_date", "payment_method"]
+    frame, merchants = _frame(spark, sf_dir), star.merchants(spark, sf_dir)
+    counts = kpis.with_merchant(frame, merchants, "business_category", keys=keys)
+    counts = counts.withColumnRenamed("business_category", "series_key")
+    return _rounded(insights.payment_mix_anomalies(counts), 6, "chi_square", "z_mix", "psi")
+
+
+@query
+def headline_sql(spark, sf_dir):
+    """The headline figures of a merchant, asked in SQL"""
+    chosen = Filters(PERIOD, merchant=MERCHANT_NAME)
+    daily = kpis.daily_kpis(star.transactions(spark, sf_dir))
+    return sql.selected(sql.HEADLINE, daily, star.merchants(spark, sf_dir), chosen)
+
+
+@query
+def revenue_series_sql(spark, sf_dir):
+    """The revenue of a category, asked in SQL"""
+    daily = kpis.daily_kpis(star.transactions(spark, sf_dir))
+    return sql.selected(sql.SERIES, daily, star.merchants(spark, sf_dir), Filters(PERIOD, CATEGORY))
+
+
 # --- Sources and sinks -------------------------------------------------------
 
 
@@ -750,8 +832,10 @@ def csv_transactions(spark, sf_dir):
 def csv_merchants(spark, sf_dir):
     """Merchants written as CSV without an internal column, read back"""
     path = scratch_path(spark, "merchants-csv")
+    number = F.col("merchant_id")
+    onboarded = F.date_add(F.lit("2022-01-01").cast("date"), (number % 365).cast("int"))
     internal = star.merchants(spark, sf_dir).withColumns(
-        {"onboarding_date": F.lit(None).cast("date"), "base_daily_volume": F.lit(BASE_VOLUME)}
+        {"onboarding_date": F.when(number % 7 != 0, onboarded), "base_daily_volume": F.lit(BASE_VOLUME)}
     )
     writers.write_csv(internal, path, drop=("base_daily_volume",))
     return readers.read_merchants(spark, path)

@@ -50,25 +50,6 @@ def test_fee_rounds_half_up(spark, raw):
     assert enrich.settle(odd).first().processing_fee == Decimal("0.01")
 
 
-@pytest.mark.parametrize(
-    "when, category, mults, product",
-    [
-        ("2024-10-28", "SaaS", (1.2, 1.2, 1.4), 2.016),
-        ("2023-07-15", "Travel", (1.3, 0.9, 1.0), 1.17),
-        ("2023-01-07", "SaaS", (0.5, 0.9, 1.0), 0.45),
-    ],
-)
-def test_seasonal_index_K3(spark, when, category, mults, product):
-    days = spark.createDataFrame(
-        [(day(when), category, 30), (day("2022-03-15"), category, 10)],
-        "agg_date date, business_category string, total_transactions long",
-    )
-    row = enrich.seasonal_index(days).where(F.col("agg_date") == day(when)).first()
-    assert (row.weekly_mult, row.monthly_mult, row.festive_mult) == pytest.approx(mults)
-    assert row.expected_index == pytest.approx(product)
-    assert row.observed_index == pytest.approx(1.5)
-
-
 def test_event_calendar_K4(spark):
     df = spark.createDataFrame(
         [

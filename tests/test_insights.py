@@ -1,3 +1,6 @@
+import datetime as dt
+import math
+
 import pytest
 from helpers import day, rows
 from pyspark.sql import functions as F
@@ -71,3 +74,28 @@ def test_anomalies_N1(spark):
     assert found[0].z_refund_rate is None  # the preceding rates do not vary
     spread = (30 / 29 * 0.25) ** 0.5
     assert found[0].z_net_revenue == pytest.approx((500 - 100.5) / spread)
+
+
+def test_payment_mix_anomalies_N1(spark):
+    usual = {"UPI": 50, "Credit Card": 30, None: 10, "Cheque": 10}
+    data = []
+    for n in range(45):
+        mix = {"Wallet": 90, "UPI": 10} if n == 40 else usual
+        for method, count in mix.items():
+            data.append(("Platform", day("2024-01-01") + dt.timedelta(days=n), method, count))
+        data.append(("quiet", day("2024-01-01") + dt.timedelta(days=n), "UPI", 0 if n % 2 else 3))
+    counts = spark.createDataFrame(
+        data, "series_key string, agg_date date, payment_method string, total_transactions long"
+    )
+    found = insights.payment_mix_anomalies(counts.repartition(5)).orderBy("agg_date").collect()
+    assert [(r.series_key, r.agg_date, r.method, r.total_transactions) for r in found] == [
+        ("Platform", day("2024-02-10"), "Wallet", 100)
+    ]
+    # Expected by hand: 30 days before hold 1,500, 900, 0, 0, 0 and 600 payments, half a one added to each.
+    before = [1500.5, 900.5, 0.5, 0.5, 0.5, 600.5]
+    seen = [10, 0, 0, 0, 90, 0]
+    chi = sum((o - 100 * b / sum(before)) ** 2 / (100 * b / sum(before)) for o, b in zip(seen, before))
+    psi = sum(((o + 0.5) / 103 - b / sum(before)) * math.log((o + 0.5) / 103 / (b / sum(before))) for o, b in zip(seen, before))
+    assert found[0].chi_square == pytest.approx(chi) and found[0].psi == pytest.approx(psi)
+    assert found[0].z_mix == pytest.approx((chi - 5) / math.sqrt(10))
+    assert insights.payment_mix_anomalies(counts.limit(0)).count() == 0
