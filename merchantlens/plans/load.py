@@ -125,3 +125,17 @@ def check(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "orphan_merchants": quality.orphan_merchants(txns, merchants),
         "null_rates": quality.null_rates(txns),
     }
+
+
+def colocate(spark: SparkSession, root: str, buckets: int, prefix: str = "colocated") -> tuple[str, str]:
+    """Copies of merchants and merchant-days, bucketed alike; the names of the catalog tables.
+
+    For many merchants, which no join broadcasts: report, comparison and selections of the
+    two tables then move no row.
+    """
+    house = Warehouse(root)
+    names = f"{prefix}_merchants", f"{prefix}_daily_aggregates"
+    tables = house.table(spark, "merchants"), house.table(spark, "daily_aggregates").drop("agg_month")
+    for df, name, keys in zip(tables, names, ((), ("agg_date",)), strict=True):
+        writers.colocate(df, name, house.path(name), buckets, *keys)
+    return names

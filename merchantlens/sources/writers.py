@@ -103,3 +103,14 @@ def with_forecast_id(forecasts: DataFrame) -> DataFrame:
 def write_forecasts(forecasts: DataFrame, path: str, level: str = PLATFORM) -> None:
     """Replace the forecasts of ``level``, which all rows must have; other levels stay."""
     replace_table(with_forecast_id(forecasts), f"{path}/forecast_level={level}")
+
+
+def colocate(df: DataFrame, table: str, path: str, buckets: int, *then: str, by: str = "merchant_id") -> None:
+    """A catalog table in ``buckets`` sorted files by merchant.
+
+    Tables with equally many buckets meet without a shuffle (C1).  ``then`` are further
+    sort keys.  A merchant has a row a day at most, so no bucket is hot.
+    """
+    laid_out = df.repartition(buckets, by).sortWithinPartitions(by, *then)
+    writer = laid_out.write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, by).sortBy(by, *then).saveAsTable(table)
