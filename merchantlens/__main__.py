@@ -5,7 +5,7 @@
     check      WAREHOUSE
     explore    WAREHOUSE --out DIR
     watch      WAREHOUSE --out DIR
-    forecast   WAREHOUSE [--level Platform|Category|Merchant] [--horizon N] [--baseline | --by-error]
+    forecast   WAREHOUSE [--level Platform|Category|Merchant] [--horizon N] [--baseline | --by-error] [--scaled]
     dashboard  WAREHOUSE --start DAY --end DAY [--category C] [--merchant M] --out DIR
     ask        WAREHOUSE --start DAY --end DAY QUESTION...
 
@@ -58,6 +58,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     forecast.add_argument("--trees", type=int, default=100)
     forecast.add_argument("--baseline", action="store_true")
     forecast.add_argument("--by-error", action="store_true")
+    forecast.add_argument("--scaled", action="store_true")
     job("dashboard", "warehouse", selection=True)
     job("ask", "warehouse", selection=True).add_argument("questions", nargs="+")
     return parser.parse_args(argv)
@@ -95,6 +96,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             args.horizon,
             use_trees=not args.baseline,
             by_error=args.by_error,
+            scaled=args.scaled,
             trees=args.trees,
         )
         deliver({"forecasts": stored.orderBy("series_key", "target_date")}, args.out)

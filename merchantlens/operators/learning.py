@@ -1,11 +1,17 @@
-"""Boosted-tree forecasting."""
+"""Boosted-tree forecasting.
+
+Series of different levels of revenue can share one model: ``scaled`` training divides
+the target, the lags and the means by the series' own mean of 30 rows, a stage of the
+stored pipeline, and predictions are multiplied by it again.  A small series then counts
+as much as a large one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -18,6 +24,9 @@ from merchantlens.session import cut_lineage
 from merchantlens.sources.local import constant_table
 
 MIN_ROWS = 31
+#: The mean that revenues are divided by, and the inputs that are revenues.
+LEVEL = "rolling_avg_30d"
+REVENUES = tuple(name for name in FEATURES if name.startswith(("revenue_lag_", "rolling_avg_")))
 
 #: From the model inputs of a day, by name, to its revenue.
 Score = Callable[[dict[str, Column]], Column]
@@ -30,8 +39,9 @@ def train(
     rate: float = 0.1,
     seed: int = 42,
     max_bins: int = 32,
+    scaled: bool = False,
 ) -> PipelineModel:
-    """Boosted trees over all series of the feature frame.
+    """Boosted trees over all series of the feature frame, ``scaled`` to a common level.
 
     The frame is written once first: every boosting round reads it again, and
     a lost executor must not recompute it from the transactions.  Rebalancing
@@ -39,6 +49,7 @@ def train(
     """
     rows = cut_lineage(frame.select(TARGET, *FEATURES).hint("rebalance"))
     stages = [
+        *([normaliser()] if scaled else []),
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         GBTRegressor(
             featuresCol="features",
@@ -53,6 +64,17 @@ def train(
     return Pipeline(stages=stages).fit(rows)
 
 
+def normaliser() -> SQLTransformer:
+    """The pipeline stage that divides revenues by the mean of 30 rows; without one nothing changes."""
+    kept = ", ".join(name for name in FEATURES if name not in REVENUES)
+    divided = ", ".join(f"coalesce(try_divide({name}, {LEVEL}), {name}) AS {name}" for name in (TARGET, *REVENUES))
+    return SQLTransformer(statement=f"SELECT {kept}, {divided} FROM __THIS__")
+
+
+def is_scaled(model: PipelineModel) -> bool:
+    return isinstance(model.stages[0], SQLTransformer)
+
+
 def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     """One row per model input, ten in all."""
     trees: GBTRegressionModel = model.stages[-1]
@@ -137,11 +159,15 @@ def recursive(
     """
     values, day = F.col("h"), F.col("target_date")
     inputs = {key: value.cast("double") for key, value in step_inputs(values, day).items()}
-    vector = array_to_vector(F.array(*inputs.values()))
+    scale = F.lit(1.0)
+    if isinstance(model, PipelineModel) and is_scaled(model):
+        scale = F.coalesce(F.nullif(inputs[LEVEL], F.lit(0.0)), F.lit(1.0))
+    vector = array_to_vector(F.array(*[v / scale if k in REVENUES else v for k, v in inputs.items()]))
 
     def predicted(rows: DataFrame) -> DataFrame:
         if isinstance(model, PipelineModel):
-            return model.stages[-1].transform(rows.select("*", vector.alias("features")))
+            found = model.stages[-1].transform(rows.select("*", vector.alias("features"), scale.alias("scale")))
+            return found.withColumn("prediction", F.col("prediction") * F.col("scale"))
         return rows.select("*", model(inputs).alias("prediction"))
 
     value = F.greatest(F.col("prediction"), F.lit(0.0))

@@ -93,3 +93,28 @@ def test_backtest_of_trees_I8(wave):
     got = {r.series_key: r for r in learning.backtest(wave, holdout=10, trees=5, depth=3).collect()}
     assert {r.scored_days for r in got.values()} == {10}
     assert all(0 <= r.mape < 1 for r in got.values())
+
+
+def test_scaled_trees_serve_every_level_of_revenue(spark):
+    weekly = [90.0, 95.0, 100.0, 105.0, 110.0, 140.0, 60.0]
+    series = None
+    for key, size in (("small", 1.0), ("middle", 1e3), ("large", 1e7)):
+        values = [size * weekly[n % 7] * (1 + 0.03 * ((n * 7919) % 5 - 2)) for n in range(150)]
+        one = series_of(spark, values, key=key)
+        series = one if series is None else series.unionByName(one)
+    training = {"trees": 15, "depth": 4}
+    errors = {
+        scaled: {r.series_key: r.mape for r in learning.backtest(series, 14, scaled=scaled, **training).collect()}
+        for scaled in (False, True)
+    }
+    assert max(errors[True].values()) < 0.15 < errors[False]["small"]
+    assert all(errors[True][key] <= errors[False][key] + 0.02 for key in errors[True])
+
+
+def test_a_series_without_revenue_is_scaled_by_one(spark):
+    values = [0.0] * 80 + [10.0 * (n % 3) for n in range(60)]
+    known = series_of(spark, values, key="a").unionByName(series_of(spark, [0.0] * 60, key="none"))
+    model = learning.train(features.build(known), trees=2, depth=2, scaled=True)
+    assert learning.is_scaled(model) and learning.importance(model, spark).count() == 10
+    got = learning.recursive(known, model, 3).where("series_key = 'none'").collect()
+    assert len(got) == 3 and all(r.predicted_revenue >= 0 for r in got)
