@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from merchantlens.functions import rules
 from merchantlens.functions.dates import Period
 from merchantlens.operators.filters import Filters
-from merchantlens.plans import dashboard, explore, forecasting, load, watch
+from merchantlens.plans import dashboard, explore, forecasting, load, selections, watch
 from merchantlens.sources import readers, writers
 from merchantlens.sources.local import constant_table
 
@@ -112,7 +112,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     chosen = Filters(Period.of(args.start, args.end), args.category, args.merchant)
     if args.job == "ask":
         asked = constant_table(spark, [(q,) for q in args.questions], QUESTION)
-        answered = dashboard.ask(asked, daily, txns, merchants, chosen, args.horizon)
+        answered = selections.ask(spark, args.warehouse, asked, chosen, args.horizon)
         deliver({"answers": answered}, args.out)
         return
     forecasts = readers.if_present(lambda: house.table(spark, "forecasts"))
