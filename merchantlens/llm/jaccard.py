@@ -204,16 +204,19 @@ def _boundary(rule: Rule, counts: np.ndarray) -> int:
     return max(fits, default=0)
 
 
-def _possible(rule: Rule, a: Column, b: Column, in_list: bool = True) -> Column:
-    """Whether two entries can be a link: by sizes, places in the order, and bitmaps."""
+def _reach(rule: Rule, a: Column, b: Column) -> Column:
+    """Whether two entries of a list can be a link by their sizes and places in the order."""
     needed = rule.needed_column(a["n"], b["n"])
     small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
     sized = small * rule.denominator >= large * rule.numerator
+    return sized & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= needed)
+
+
+def _alike(rule: Rule, a: Column, b: Column) -> Column:
+    """Whether two sets can be a link by their bitmaps."""
+    needed = rule.needed_column(a["n"], b["n"])
     differ = sum(F.bit_count(F.get(a["bits"], i).bitwiseXOR(F.get(b["bits"], i))) for i in range(BITS // 64))
-    alike = (a["n"] + b["n"] - differ) >= 2 * needed
-    if not in_list:
-        return sized & alike
-    return sized & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= needed) & alike
+    return (a["n"] + b["n"] - differ) >= 2 * needed
 
 
 def _heavy(boundary: int, a: Column, b: Column) -> Column:
@@ -232,7 +235,7 @@ def _next_ones(lists: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     met = scanned.select("x", next_ones.alias("ys"))
     x = F.col("x")
     possible = F.filter(
-        "ys", lambda y: y.isNotNull() & _heavy(boundary, x, y) & _possible(rule, x, y)
+        "ys", lambda y: y.isNotNull() & _heavy(boundary, x, y) & _reach(rule, x, y) & _alike(rule, x, y)
     )
     heavy = met.select("x.cid", F.explode(F.transform(possible, lambda y: y["cid"])).alias("b"))
 
@@ -249,13 +252,15 @@ def _size_band(rule: Rule, n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / width).cast("int")
 
 
-def _across(lists: DataFrame, roots: DataFrame, rule: Rule, boundary: int) -> DataFrame:
+def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     """Candidates (a, b) of one list but different components.
 
-    Entries meet if their sizes lie in neighbouring bands; long lists are cut into parts, and
-    each pair of parts is a key of its own.
+    Few lists still hold two components, so only numbers are moved to find them; bitmaps
+    are fetched for the pairs that are left.  Entries meet if their sizes lie in
+    neighbouring bands; long lists are cut into parts, and each pair of parts is a key of
+    its own.
     """
-    scanned = lists.where("pos >= 0").join(roots, "cid", "left")
+    scanned = lists.where("pos >= 0").select("token", "cid", "n", "pos").join(roots, "cid", "left")
     scanned = scanned.withColumn("root", F.coalesce("root", "cid"))
     by_root = scanned.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
     main = by_root.groupBy("token").agg(
@@ -265,23 +270,27 @@ def _across(lists: DataFrame, roots: DataFrame, rule: Rule, boundary: int) -> Da
     parts = F.ceil(F.col("length") / LIST_ROWS).cast("int")
     scanned = scanned.select(
         "token",
-        F.struct("cid", "n", "pos", "bits", "root", "main").alias("entry"),
+        F.struct("cid", "n", "pos", "root", "main").alias("entry"),
         _size_band(rule, F.col("n")).alias("band"),
         F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"),
         F.sequence(F.lit(0), parts - 1).alias("parts"),
     )
-    left = scanned.where("entry.root <> entry.main").select(
-        "token", F.col("entry").alias("x"), "band", F.col("part").alias("mine"), F.explode("parts").alias("theirs")
-    )
     near = F.array(*[F.col("band") + step for step in (-1, 0, 1)])
+    left = scanned.where("entry.root <> entry.main").select(
+        "token", F.col("entry").alias("x"), F.explode(near).alias("band"), F.col("part").alias("mine"), "parts"
+    ).select("token", "x", "band", "mine", F.explode("parts").alias("theirs"))
     right = scanned.select(
-        "token", F.col("entry").alias("y"), F.explode(near).alias("band"), F.col("part").alias("theirs"), "parts"
-    ).select("token", "y", "band", "theirs", F.explode("parts").alias("mine"))
+        "token", F.col("entry").alias("y"), "band", F.col("part").alias("theirs"), F.explode("parts").alias("mine")
+    )
     x, y = F.col("x"), F.col("y")
     apart = (x["root"] != y["root"]) & ((y["root"] == y["main"]) | (x["cid"] < y["cid"]))
     met = left.join(right, ["token", "band", "mine", "theirs"])
-    met = met.where(apart & _heavy(boundary, x, y) & _possible(rule, x, y))
-    return met.select(x["cid"].alias("a"), y["cid"].alias("b"))
+    met = met.where(apart & _heavy(boundary, x, y) & _reach(rule, x, y))
+    pairs = met.select(x["cid"].alias("a"), y["cid"].alias("b")).distinct()
+    for end in ("a", "b"):
+        told = classes.select(F.col("cid").alias(end), F.struct("n", "bits").alias(f"of_{end}"))
+        pairs = pairs.join(told, end)
+    return pairs.where(_alike(rule, F.col("of_a"), F.col("of_b"))).select("a", "b")
 
 
 def _verified(candidates: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -290,7 +299,8 @@ def _verified(candidates: DataFrame, rows: DataFrame, classes: DataFrame, rule:
     pairs = cut_lineage(pairs.where("a <> b").distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     involved = involved.join(classes.select("cid", F.col("first").alias("key")), "cid")
-    texts = cut_lineage(_of_class(rows.join(involved, "key").select("cid", "text"), rule))
+    # Each text is moved once to its class; both sides of a pair then read that.
+    texts = _of_class(rows.join(involved, "key").select("cid", "text"), rule)
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,20 +313,20 @@ def _verified(candidates: DataFrame, rows: DataFrame, classes: DataFrame, rule:
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     links = cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
-    discard(pairs, texts)
+    discard(pairs)
     return links
 
 
 def _to_roots(low: DataFrame) -> DataFrame:
     """(cid, up) with every id led to the end of its way, which only goes down; by doubling."""
-    while True:
-        onward = low.toDF("up", "top")
-        found = cut_lineage(low.join(onward, "up", "left").select("cid", "up", "top"))
+    moved = True
+    while moved:
+        further = low.join(low.toDF("up", "top"), "up", "left")
+        found = cut_lineage(further.select("cid", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
         discard(low)
-        if found.where("top IS NOT NULL").isEmpty():
-            return found.select("cid", "up")
-        low = cut_lineage(found.select("cid", F.coalesce("top", "up").alias("up")))
-        discard(found)
+        moved = not found.where("moved").isEmpty()
+        low = found.select("cid", "up")
+    return low
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -360,7 +370,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule =
 
     described = told.where("bucket IS NULL").drop("bucket", "count")
     classes = described.where("key IS NOT NULL AND n > 0").groupBy("cid").agg(
-        F.min("key").alias("first"), F.any_value("bits").alias("bits")
+        F.min("key").alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")
     )
     entries = cut_lineage(_listed(rows.where("key IS NOT NULL"), rule, rank, boundary))
     shared = entries.groupBy("token").agg(
@@ -373,7 +383,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule =
 
     links = _verified(_next_ones(lists, rule, boundary), rows, classes, rule)
     roots = components(links)
-    more = _verified(_across(lists, roots, rule, boundary), rows, classes, rule)
+    more = _verified(_across(lists, roots, classes, rule, boundary), rows, classes, rule)
     if not more.isEmpty():
         again = components(links.unionAll(more))
         discard(roots)
