@@ -25,7 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import compress
+from itertools import chain, compress
 from operator import is_
 from unicodedata import is_normalized
 
@@ -55,16 +55,17 @@ WORD_END, MARK = "</w>", "\x01"
 is_none = partial(is_, None)
 #: Characters whose lower case depends on their neighbours, and the mark of special tokens.
 _PLAIN = regex.compile(r"Σ|<\|")
+_MARKED = regex.compile(rf"<\||{MARK}")
 
 
 def _settled(letter: str) -> bool:
     """Whether a character is a letter or digit that the normaliser leaves alone."""
-    return letter.isalnum() and letter == letter.lower() and is_normalized("NFC", letter)
+    return letter.isalnum() and (letter.isascii() or letter == letter.lower() and is_normalized("NFC", letter))
 
 
 @lru_cache(maxsize=1)
 def tokenizers(path: str) -> tuple:
-    """The library's tokenizer; one for words of letters; for each id whether it ends a word.
+    """The library's tokenizer; one for pieces of words; the pattern of pieces; for each id whether it ends one.
 
     The second merges bytes to the token of least id that they make together.  That is what
     the list of merges does if ids rise with its ranks and each token's own bytes come to
@@ -91,8 +92,9 @@ def tokenizers(path: str) -> tuple:
             ends[i] = token.endswith(WORD_END)
             data = bytes(letters[c] for c in token.removesuffix(WORD_END))
             ranks[data + MARK.encode() * int(ends[i])] = i
+    pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
     plain = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
-    return found, plain, ends
+    return found, plain, pattern, ends
 
 
 class WordIds(dict):
@@ -100,7 +102,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer, self.plain, self.ends = tokenizers(path)
+        self.tokenizer, self.plain, self.pattern, self.ends = tokenizers(path)
         self.used = 0
 
     def _ids(self, words: list[str]) -> Iterator[bytes]:
@@ -108,13 +110,16 @@ class WordIds(dict):
             yield struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words; those of lower-case letters alone many at a time, cut after each word's end."""
-        plain = [w for w in words if w.isalpha() and w.islower() and is_normalized("NFC", w)]
-        for start in range(0, len(plain), TOGETHER):
-            part = plain[start : start + TOGETHER]
-            found = self.plain.encode_ordinary("".join(word + MARK for word in part))
+        """Encode words; those that the normaliser leaves alone many at a time, piece by piece."""
+        settled = [w for w in words if w == w.lower() and is_normalized("NFC", w) and not _MARKED.search(w)]
+        for start in range(0, len(settled), TOGETHER):
+            part = settled[start : start + TOGETHER]
+            split = [[w] if w.isalpha() else self.pattern.findall(w) for w in part]
+            pieces = list(chain.from_iterable(split))
+            found = self.plain.encode_ordinary("".join(piece + MARK for piece in pieces))
             ids = np.array(found, dtype="<u4")
-            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            after = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            cuts = (4 * after[np.cumsum([0, *map(len, split)])]).tolist()
             data = ids.tobytes()
             self.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         rest = [w for w in words if w not in self]
@@ -146,8 +151,9 @@ class WordIds(dict):
             new.update(compress(words, map(is_none, ids)))
         self._know(new)
         for words, ids in zip(split, known, strict=True):
-            whole = [self[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            yield np.frombuffer(b"".join(whole), dtype="<u4")
+            for at in compress(range(len(ids)), list(map(is_none, ids))):
+                ids[at] = self[words[at]]
+            yield np.frombuffer(b"".join(ids), dtype="<u4")
 
 
 class Packer:
