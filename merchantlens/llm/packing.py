@@ -46,7 +46,7 @@ LEAST_CUT = 16
 END_ID = 2
 MERGED = 8
 #: Bytes that a task's memo may take, those of a word, and those of a letter with its share of ids.
-MEMO_BYTES, WORD_BYTES, LETTER_BYTES = 64 << 20, 200, 3
+MEMO_BYTES, WORD_BYTES, LETTER_BYTES = 128 << 20, 200, 3
 TEXTS = 256
 #: Words encoded in one call.
 TOGETHER = 2048
@@ -109,20 +109,28 @@ class WordIds(dict):
         for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield struct.pack(f"<{len(found.ids)}I", *found.ids)
 
+    def _add(self, words: list[str], pieces: list[str], each: list[int] | None = None) -> None:
+        """Encode the pieces of some words at once; ``each`` has their number by word if it is not one."""
+        if not words:
+            return
+        ids = np.array(self.plain.encode_ordinary(MARK.join(pieces) + MARK), dtype="<u4")
+        after = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        cuts = (4 * (after if each is None else after[np.cumsum([0, *each])])).tolist()
+        data = ids.tobytes()
+        self.update(zip(words, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
     def _learn(self, words: list[str]) -> None:
         """Encode words; those that the normaliser leaves alone many at a time, piece by piece."""
-        settled = [w for w in words if w == w.lower() and is_normalized("NFC", w) and not _MARKED.search(w)]
-        for start in range(0, len(settled), TOGETHER):
-            part = settled[start : start + TOGETHER]
-            split = [[w] if w.isalpha() else self.pattern.findall(w) for w in part]
-            pieces = list(chain.from_iterable(split))
-            found = self.plain.encode_ordinary("".join(piece + MARK for piece in pieces))
-            ids = np.array(found, dtype="<u4")
-            after = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-            cuts = (4 * after[np.cumsum([0, *map(len, split)])]).tolist()
-            data = ids.tobytes()
-            self.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-        rest = [w for w in words if w not in self]
+        plain = [w for w in words if w.islower() and w.isalpha() and (w.isascii() or is_normalized("NFC", w))]
+        for start in range(0, len(plain), TOGETHER):
+            self._add(plain[start : start + TOGETHER], plain[start : start + TOGETHER])
+        left = [w for w in words if w not in self]
+        mixed = [w for w in left if w == w.lower() and is_normalized("NFC", w) and not _MARKED.search(w)]
+        split = list(map(self.pattern.findall, mixed))
+        mixed = list(compress(mixed, split))  # white space has no piece
+        split = list(filter(None, split))
+        self._add(mixed, list(chain.from_iterable(split)), list(map(len, split)))
+        rest = [w for w in left if w not in self]
         self.update(zip(rest, self._ids(rest), strict=True))
 
     def _split(self, text: str) -> list[str]:
@@ -133,10 +141,11 @@ class WordIds(dict):
         # After a letter or digit a comma or stop is a token of its own.
         stems = {w: w[:-1] for w in words if w[-1] in ",." and _settled(w[-2:-1])}
         learned = (words - stems.keys() | {*stems.values(), ",", "."}) - self.keys()
+        before = len(self)
         self._learn(list(learned))
         self.update((w, self[stem] + self[w[-1]]) for w, stem in stems.items())
-        added = words | learned
-        self.used += WORD_BYTES * len(added) + LETTER_BYTES * sum(map(len, added))
+        letters = sum(map(len, learned)) + sum(map(len, stems))
+        self.used += WORD_BYTES * (len(self) - before) + LETTER_BYTES * letters
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
