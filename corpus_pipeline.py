@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and read
 again as the next one's documents.  All but the last return the columns of documents.
+
+Rows: a text that is null, empty or without a letter has no language and goes with the
+second stage; nulls in other columns pass.  Texts of any length are treated whole.  Ties go
+to the smaller key.  Of equal rows, and of near copies whatever their keys, one stays; rows
+without words are no copies of each other.  Empty tables stay empty; without a label to learn
+from every document passes the first stage, without a language to learn from the second.
+Extra columns pass through the first four stages under any name.
 """
 
 from __future__ import annotations
