@@ -66,5 +66,4 @@ def test_classifiers_keep_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:2]:
         docs = stage(spark, docs, sf)
     kept, total = docs.join(clean, "doc_id", "left_semi").count(), clean.count()
-    print("KEPT", kept, total)
     assert kept >= 0.95 * total
