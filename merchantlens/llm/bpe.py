@@ -52,7 +52,7 @@ PIECE = 1 << 16
 WINDOW = 1 << 9
 #: Bytes that a task's memo may take, those of a word or chunk, those of a letter with its share of
 #: ids, and new chunks that are learned at a time.
-MEMO_BYTES, WORD_BYTES, LETTER_BYTES, LEARNED = 96 << 20, 150, 3, 100_000
+MEMO_BYTES, WORD_BYTES, LETTER_BYTES, LEARNED = 160 << 20, 150, 3, 100_000
 #: Texts whose new words are merged in one go.
 TEXTS = 256
 #: The word pattern of this family of vocabularies.
