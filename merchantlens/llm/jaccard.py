@@ -185,6 +185,21 @@ def _listed(docs: DataFrame, rule: Rule, rank: np.ndarray, boundary: int) -> Dat
     return docs.select("text").mapInArrow(run, "token long, cid long, n int, pos int")
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries of lists of two classes or more, and ``classes``; each is moved once.
+
+    A list passes through one task, which writes to disk what it cannot hold.
+    """
+    of_list = Window.partitionBy("token")
+    counted = entries.select(
+        "*",
+        F.count(F.lit(1)).over(of_list).alias("classes"),
+        F.min("cid").over(of_list).alias("low"),
+        F.max("cid").over(of_list).alias("high"),
+    )
+    return counted.where("low <> high").drop("low", "high").dropDuplicates(["token", "cid", "n", "pos"])
+
+
 def _subsets(found: np.ndarray, size: int, *salt: int) -> np.ndarray:
     """A hash of each subset of a size, told apart by the two sizes of a pair."""
     spread = (found ^ (found >> np.uint64(31))) * _ODD
@@ -372,14 +387,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule =
     classes = described.where("key IS NOT NULL AND n > 0").groupBy("cid").agg(
         F.min("key").alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")
     )
-    entries = cut_lineage(_listed(rows.where("key IS NOT NULL"), rule, rank, boundary))
-    shared = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("classes"), F.min("cid").alias("low"), F.max("cid").alias("high")
-    )
-    shared = shared.where("low <> high").select("token", "classes")
-    lists = entries.join(shared, "token").dropDuplicates(["token", "cid", "n", "pos"])
-    lists = cut_lineage(lists.join(classes.select("cid", "bits"), "cid"))
-    discard(entries)
+    entries = _listed(rows.where("key IS NOT NULL"), rule, rank, boundary)
+    lists = cut_lineage(_shared(entries).join(classes.select("cid", "bits"), "cid"))
 
     links = _verified(_next_ones(lists, rule, boundary), rows, classes, rule)
     roots = components(links)
@@ -430,6 +439,9 @@ def first_of_each(
         F.xxhash64(*of_row).alias("h1"),
         F.xxhash64(F.lit(7), *of_row).alias("h2"),
     )
+    # Of the type that it has when it is read back; else rows would be moved again to be joined.
+    fields = docs.select(own.alias("id")).schema["id"].dataType.fields
+    own = own.cast(T.StructType([T.StructField(field.name, field.dataType) for field in fields]))
     known = own if unkeyed else F.when(F.col(key).isNotNull(), own)
     rows = docs.select(F.struct("*").alias("row"), known.alias("id"), F.col(text).alias("text"))
     found = join(rows, "text", "id", rule)

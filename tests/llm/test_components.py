@@ -1,12 +1,15 @@
 """Rounds, parts of long lists and scratch tables of the n-gram Jaccard join."""
 
 import random
+import time
 from pathlib import Path
 
+from helpers import plan
+from pyspark.sql import functions as F
 from test_documents import plain_components
 
 from merchantlens.llm import jaccard
-from merchantlens.session import cut_lineage, discard, shared_dir
+from merchantlens.session import DROP_SHUFFLES, cut_lineage, discard, shared_dir
 
 
 def cuts(spark):
@@ -59,3 +62,36 @@ def test_lists_in_parts(spark, documents, monkeypatch):
     for rule in (jaccard.Rule(), jaccard.Rule(5, 80, 100), jaccard.Rule(2, 60, 100)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(list(enumerate(texts))), rule=rule).collect()}
         assert got == dict(enumerate(plain_components(texts, rule)))
+
+
+def shuffles(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(p) for folder in manager.localDirsString() for p in Path(folder).rglob("shuffle_*")}
+
+
+def test_shuffle_files_go_with_the_table(spark):
+    before, setting = shuffles(spark), spark.conf.get(DROP_SHUFFLES, None)
+    counts = spark.range(10_000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    table = cut_lineage(counts)
+    until = time.time() + 20
+    while shuffles(spark) - before and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not shuffles(spark) - before
+    assert table.count() == counts.count() == 7
+    assert shuffles(spark) - before and spark.conf.get(DROP_SHUFFLES, None) == setting
+
+
+def test_entries_and_rows_are_moved_once(spark, documents, monkeypatch):
+    rows = [(n, " ".join(f"w{n // 3}x{m}" for m in range(40)) + f" e{n}") for n in range(30)]
+    plans = []
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: plans.append(plan(df)) or cut_lineage(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.first_of_each(documents(rows))
+        shown = plan(kept)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 30, 3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    entries = [p for p in plans if "classes" in p and "pos" in p and "MapInArrow" in p]
+    assert len(entries) == 1 and entries[0].count("hashpartitioning(token") == 1
+    assert shown.count("Exchange hashpartitioning(id#") == 1 and "cast(id#" not in shown
