@@ -32,6 +32,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most this many keys are broadcast.
 HEAVY = 10_000
 HASH = ["h1", "h2"]
+#: The database of the runs, so that none shows among the caller's tables.
+DATABASE = "merchantlens_scratch"
 
 
 def line_key(line: Column) -> Column:
@@ -57,11 +59,13 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, list[str]] = {}
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        run = f"line_run_{level}_{uuid.uuid4().hex}"
+        name = f"{DATABASE}.{run}"
         out = counts.select(*HASH, "n_docs").repartition(self.buckets, *HASH).write
-        out = out.option("path", scratch_path(self.spark, name))
+        out = out.option("path", scratch_path(self.spark, run))
         out.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         self.levels.setdefault(level, []).append(name)
 
