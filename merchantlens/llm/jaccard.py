@@ -17,8 +17,9 @@ Nothing lists all pairs of a group of near copies.  First each class meets its
 ``NEIGHBOURS`` next ones in each list, in an order by hash; a bitmap of each set bounds what two sets can
 share and leaves hardly a false pair.  The links found give components.  Then, in each
 list, only classes of different components still meet, and those outside the
-list's largest component are the ones that scan.  All pairs are covered: each either
-meets or is joined already.  Candidates are verified on the texts.
+list's largest component are the ones that scan.  They need not meet again in lists that
+follow one they share, so pages of one template do not meet in each of its shingles.  All
+pairs that link are covered: each meets in the first list it shares or is joined already.  Candidates are verified on the texts.
 
 Shingles and sets are identified by 64-bit hashes.
 
@@ -50,6 +51,8 @@ BUCKETS = 1 << 16
 BITS = 512
 LARGEST_LIGHT = 24
 NEIGHBOURS = 4
+#: How many lists back two classes are looked at for one in common.
+EARLIER = 3
 #: Rows of a list that one task sorts.
 LIST_ROWS = 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -267,13 +270,14 @@ def _size_band(rule: Rule, n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / width).cast("int")
 
 
-def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, rule: Rule, boundary: int) -> DataFrame:
-    """Candidates (a, b) of one list but different components.
+def _met(lists: DataFrame, roots: DataFrame, rule: Rule, boundary: int) -> DataFrame:
+    """Pairs (a, b) of one list but different components, by sizes and places.
 
-    Few lists still hold two components, so only numbers are moved to find them; bitmaps
-    are fetched for the pairs that are left.  Entries meet if their sizes lie in
-    neighbouring bands; long lists are cut into parts, and each pair of parts is a key of
-    its own.
+    Entries meet if their sizes lie in neighbouring bands; long lists are cut into parts,
+    and each pair of parts is a key of its own.  A pair that links needs to meet in the
+    first list that it shares only: two entries whose classes had a list in common shortly
+    before have met there or earlier, and a list all of whose entries come from the same
+    one is left out.
     """
     scanned = lists.where("pos >= 0").select("token", "cid", "n", "pos").join(roots, "cid", "left")
     scanned = scanned.withColumn("root", F.coalesce("root", "cid"))
@@ -282,10 +286,18 @@ def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, rule: Rule,
         F.max_by("root", "rows").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("rows").alias("length")
     )
     scanned = scanned.join(main.where("roots > 1").drop("roots"), "token")
+    of_class = Window.partitionBy("cid").orderBy("pos")
+    before = F.array(*[F.lag("token", k).over(of_class) for k in range(1, EARLIER + 1)])
+    scanned = scanned.withColumn("before", F.array_compact(before))
+    last = F.get("before", F.lit(0))
+    came = scanned.groupBy("token").agg(
+        F.min(last).alias("low"), F.max(last).alias("high"), F.count_if(last.isNull()).alias("first")
+    )
+    scanned = scanned.join(came.where("first > 0 OR low <> high").select("token"), "token")
     parts = F.ceil(F.col("length") / LIST_ROWS).cast("int")
     scanned = scanned.select(
         "token",
-        F.struct("cid", "n", "pos", "root", "main").alias("entry"),
+        F.struct("cid", "n", "pos", "root", "main", "before").alias("entry"),
         _size_band(rule, F.col("n")).alias("band"),
         F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"),
         F.sequence(F.lit(0), parts - 1).alias("parts"),
@@ -300,8 +312,17 @@ def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, rule: Rule,
     x, y = F.col("x"), F.col("y")
     apart = (x["root"] != y["root"]) & ((y["root"] == y["main"]) | (x["cid"] < y["cid"]))
     met = left.join(right, ["token", "band", "mine", "theirs"])
-    met = met.where(apart & _heavy(boundary, x, y) & _reach(rule, x, y))
-    pairs = met.select(x["cid"].alias("a"), y["cid"].alias("b")).distinct()
+    met = met.where(apart & ~F.arrays_overlap(x["before"], y["before"]) & _heavy(boundary, x, y) & _reach(rule, x, y))
+    return met.select(x["cid"].alias("a"), y["cid"].alias("b"))
+
+
+def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, rule: Rule, boundary: int) -> DataFrame:
+    """Candidates (a, b) of one list but different components.
+
+    Few lists still hold two components, so only numbers are moved to find them; bitmaps
+    are fetched for the pairs that are left.
+    """
+    pairs = _met(lists, roots, rule, boundary).distinct()
     for end in ("a", "b"):
         told = classes.select(F.col("cid").alias(end), F.struct("n", "bits").alias(f"of_{end}"))
         pairs = pairs.join(told, end)

@@ -95,3 +95,26 @@ def test_entries_and_rows_are_moved_once(spark, documents, monkeypatch):
     entries = [p for p in plans if "classes" in p and "pos" in p and "MapInArrow" in p]
     assert len(entries) == 1 and entries[0].count("hashpartitioning(token") == 1
     assert shown.count("Exchange hashpartitioning(id#") == 1 and "cast(id#" not in shown
+
+
+def test_pairs_meet_once_not_in_each_shared_list(documents, monkeypatch):
+    rng, texts, owned, counted = random.Random(9), [], [], []
+    for group in range(3):  # pages of a template, too different to link
+        page = " ".join(f"g{group}w{n}" for n in range(200))
+        owned += (own := [" ".join(f"own{rng.randrange(10**9)}" for _ in range(60)) for _ in range(12)])
+        texts += [f"{page} {words}" for words in own]
+    texts += [f"{texts[3]} end", f"{texts[20]} end of it"]
+    # What a page has alone is frequent elsewhere, so the template comes first in the order.
+    texts += [" ".join([*owned, *(f"z{n}" for n in range(m))]) for m in range(20)]
+    real = jaccard._across
+
+    def across(lists, roots, classes, rule, boundary):
+        met = jaccard._met(lists, roots, rule, boundary)
+        counted.append((met.count(), met.distinct().count()))
+        return real(lists, roots, classes, rule, boundary)
+
+    monkeypatch.setattr(jaccard, "_across", across)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(plain_components(texts, jaccard.Rule())))
+    [(rows, pairs)] = counted; print(rows, pairs)
+    assert 3 * 12 * 11 // 2 <= pairs <= rows <= 2 * pairs
