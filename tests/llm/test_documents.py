@@ -284,3 +284,17 @@ def test_repeated_rows_are_packed_apart(documents):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values()) * 2
     places = sorted((p.sequence_id, p.offset + n) for p in pieces for n in range(p.length))
     assert len(places) == len(set(places)) and all(at < 4 for _, at in places)
+
+
+def test_whole_texts_are_encoded_in_one_call(monkeypatch):
+    library = packing.tokenizers(WORDS)[0]
+    monkeypatch.setattr(packing, "RUNS", 50)
+    rng, words = random.Random(12), packing.WordIds(WORDS)
+    pool = [*"aabstrevmldSTREé1²½Ⅷ,.ªʰ日\t\xa0\x85\u200b", *["'"] * 9, "’", '"', "\n", *[" "] * 9, "'s", "'re", "'LL", " the", "10.0.7.1"]
+    plain = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    odd = ["Σas ΣΑΣ", "a <| b", "a\x01b", "e\u0301t", "<|endoftext|>"]
+    texts = [*plain, *odd, "", "long" * 3000]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in words.encode(texts)] == expected
+    assert sum(map(len, words)) <= sum(map(len, odd)) and len(words.runs) <= 50  # no word of the others is kept
+    assert [ids.tolist() for ids in words.encode(texts[::-1])] == expected[::-1]
